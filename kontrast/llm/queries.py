@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import warc
 from .token_counts import op10_token_counts
+from .warc import op4_warc_round_trip
 
 QUERIES = {
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": warc.ORACLE,
+}

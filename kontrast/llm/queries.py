@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from . import warc
+from .mixing import op5_mix_sources
+from .neighbours import op6_nearest_neighbours
 from .token_counts import op10_token_counts
 from .warc import op4_warc_round_trip
 
 QUERIES = {
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import decontamination, warc
+from .decontamination import op7_decontamination
 from .mixing import op5_mix_sources
 from .neighbours import op6_nearest_neighbours
 from .token_counts import op10_token_counts
@@ -12,9 +13,11 @@ QUERIES = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_decontamination": op7_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": warc.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
 }

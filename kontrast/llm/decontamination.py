@@ -67,8 +67,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, slop: int = 0) -
     some = stored(starts.select("doc_id").distinct(), "candidate-docs")
     full = named.join(small(some, some.count()), "doc_id", "left_semi").select("doc_id", words().alias("ws")).select("doc_id", F.posexplode("ws").alias("pos", "term")).join(small(terms, n_terms), "term", "left_semi").distinct()
     wanted = starts.select("doc_id", "start", "window", F.posexplode("words").alias("offset", "term"))
-    shifts = F.sequence(F.lit(-slop), F.lit(slop)) if slop else F.array(F.lit(0))
-    wanted = wanted.select("doc_id", "start", "window", "offset", "term", (F.col("start") + F.col("offset") + F.explode(shifts)).alias("pos")) if slop else wanted.withColumn("pos", F.col("start") + F.col("offset"))
+    shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop)) if slop else F.array(F.lit(0))).alias("shift")
+    wanted = wanted.select("*", shifts).withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
     met = wanted.join(full, ["doc_id", "pos", "term"]).groupBy("doc_id", "start", "window").agg(F.count_distinct("offset").alias("met"))
     return starts.join(met, ["doc_id", "start", "window"]).where("met = size(words)").select("doc_id", "start", F.size("words").alias("length"), "window", "items")
 

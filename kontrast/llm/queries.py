@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, warc
+from . import decontamination, line_dedup, warc
 from .decontamination import op7_decontamination
+from .line_dedup import op3_line_dedup
 from .mixing import op5_mix_sources
 from .neighbours import op6_nearest_neighbours
 from .token_counts import op10_token_counts
 from .warc import op4_warc_round_trip
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_nearest_neighbours": op6_nearest_neighbours,
@@ -18,6 +20,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op4_warc_round_trip": warc.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }

@@ -7,6 +7,7 @@ from .decontamination import op7_decontamination
 from .line_dedup import op3_line_dedup
 from .mixing import op5_mix_sources
 from .neighbours import op6_nearest_neighbours
+from .quality import op8_quality_classifier
 from .token_counts import op10_token_counts
 from .warc import op4_warc_round_trip
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 

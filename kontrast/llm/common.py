@@ -85,3 +85,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """An equi-join whose left side may hold very many rows of one key: they are dealt over SALTS parts by ``spread``.
+
+    The right side, which must have few rows a key, is repeated for each part.
+    """
+    salt = F.pmod(F.xxhash64(spread, F.lit(3)), F.lit(SALTS)).cast("int").alias("__salt")
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return left.select("*", salt).join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of ``edges`` (a, b): the smallest node that each can reach.
+
+    Alternating large-star and small-star steps, each a grouped minimum and a join, until neither changes the edges;
+    edges and labels stay in stored tables.
+    """
+
+    def step(e: DataFrame, large: bool) -> DataFrame:
+        ends = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        both = salted_join(ends, least, ["a"], "b")
+        if large:
+            out = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = both.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        return stored(out.where("a != b").distinct(), "edges")
+
+    def mark(e: DataFrame) -> tuple:
+        r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        return r["n"], r["h"]
+
+    e = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
+    before = None
+    while (now := mark(e)) != before:
+        before = now
+        e = step(step(e, True), False)
+    pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return pairs.union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontamination, line_dedup, warc
 from .decontamination import op7_decontamination
+from .jaccard_join import op1_jaccard_join
 from .line_dedup import op3_line_dedup
 from .mixing import op5_mix_sources
 from .neighbours import op6_nearest_neighbours
@@ -12,6 +13,7 @@ from .token_counts import op10_token_counts
 from .warc import op4_warc_round_trip
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,

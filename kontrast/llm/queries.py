@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, line_dedup, warc
+from .class_lm import op9_class_lm
 from .decontamination import op7_decontamination
 from .jaccard_join import op1_jaccard_join
 from .line_dedup import op3_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_class_lm": op9_class_lm,
     "op10_token_counts": op10_token_counts,
 }
 

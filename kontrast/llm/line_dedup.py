@@ -87,8 +87,8 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.select("id").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped) for each row: without lines that repeat an earlier line within one edit.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped) for each row, and its columns ``keep``: without lines that repeat an earlier line within one edit.
 
     Lines end at \\n and are ordered by doc_id and line number. A line of at least ``min_chars`` code points goes if an
     equal line stands earlier, or if its text's first occurrence has a line within edit distance 1 earlier still;
@@ -115,11 +115,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     spots = spots.where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "no") != F.col("first")))
     drops = spots.groupBy("row").agg(F.collect_set("no").alias("drops"))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce(text, F.lit("")))).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce(text, F.lit("")))).alias("row"), *keep)
     parts = F.split("text", "\n", -1)
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drops", i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
-    return rows.join(drops, "row", "left").select("doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.join(drops, "row", "left").select("doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), *keep)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

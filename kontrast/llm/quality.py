@@ -17,8 +17,8 @@ from .common import hash_words, mix, read, stored, text_or_empty
 BITS = 20
 BLOCK = 1 << 14
 LABELLED = 50_000
-EVIDENCE = 4.0
-SMOOTHING = 1e4
+EVIDENCE = 3.5
+SMOOTHING = 2e3
 TEMPERATURE = 0.02
 #: Classes of labelled rows: accepted (the target), low quality, toxic.
 CLASSES = 3

@@ -1,21 +1,64 @@
-"""A pipeline over documents; its stages are operators of the llm subpackage."""
+"""A pipeline over documents; each stage applies one operator of the llm subpackage and its decisions take effect."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kontrast.llm.common import read, stored
+from kontrast.llm.decontamination import contamination
+from kontrast.llm.jaccard_join import link
+from kontrast.llm.line_dedup import drop_repeated_lines
+from kontrast.llm.mixing import mix
+from kontrast.llm.quality import classify
 
-STAGES: list = []
 
-#: The classifier's and the mix's arithmetic can't be given in SQL row for row; tests hold the stages against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents of which only blanks remain; n_chars follows the text."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = drop_repeated_lines(docs, keep=rest).where("n_dropped = 0 OR text RLIKE '[^\\\\s]'")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 0.8 of their five-word shingles, that of smallest id stays.
+
+    Rows that repeat an id are one document; rows without an id stay.
+    """
+    linked = link(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(linked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    hit = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, text): what the mix takes of each document."""
+    return mix(docs, keep=("text",))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The classifier's model and the mix's Newton steps have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored
+from .common import read, stored
 
 SAMPLE = 65_536
 LEAF = 1024
@@ -125,12 +125,16 @@ def nearest(
     total = groups.count()
     fit = groups.select("vid", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
     longest = fit.agg(F.max("norm")).first()[0]
-    picked = fit.orderBy(F.xxhash64("vid"), "vid").limit(sample).collect()
+    picked = fit.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toArrow()["v"].combine_chunks()
     lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, longest**2 - (x * x).sum(1)))[:, None]])  # noqa: E731  nearness then is distance
-    base = lift(np.array([r["v"] for r in picked]))
+    base = lift(picked.flatten().to_numpy().reshape(len(picked), -1))
     forest = [Tree.grow(base, leaf, np.random.default_rng(seed + t)) for t in range(trees)]
     n_leaves = max(trees, int(np.ceil(share * sum(t.leaves for t in forest))))
-    salts = max(1, -(-total // (min(t.leaves for t in forest) * GROUP)))
+    # Leaves next to each other are scored together, in blocks of some GROUP vectors; a larger leaf is dealt over salts,
+    # and so are the queries.
+    per_leaf = max(1, total // min(t.leaves for t in forest))
+    block, salts = max(1, GROUP // per_leaf), -(-per_leaf // GROUP)
+    askers = -(-asking.select("vid").distinct().count() // GROUP) or 1
     shared = spark.sparkContext.broadcast((forest, longest))
 
     def unpack(v: pd.Series) -> np.ndarray:
@@ -141,34 +145,42 @@ def nearest(
             if len(b):
                 x = lift(unpack(b["v"]))
                 for t, tree in enumerate(shared.value[0]):
-                    yield pd.DataFrame({"tree": t, "leaf": tree.route(x), "salt": b["vid"] % salts, "vid": b["vid"], "v": b["v"], "asks": False})
+                    leaf_of = tree.route(x)
+                    for asker in range(askers):
+                        yield pd.DataFrame({"tree": t, "block": leaf_of // block, "salt": b["vid"] % salts, "asker": asker, "vid": b["vid"], "v": b["v"], "leaves": list(leaf_of[:, None]), "asks": False})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for vid, v in zip(b["vid"], b["v"], strict=True):
                 q = np.append(np.asarray(v) * (shared.value[1] / np.linalg.norm(v)), 0.0)
-                found = search(shared.value[0], q, n_leaves)
-                out = pd.DataFrame(found, columns=["tree", "leaf"]).merge(pd.DataFrame({"salt": np.arange(salts)}), how="cross")
-                yield out.assign(vid=vid, v=[v] * len(out), asks=True)
+                wanted: dict[tuple[int, int], list[int]] = {}
+                for t, number in search(shared.value[0], q, n_leaves):
+                    wanted.setdefault((t, number // block), []).append(number)
+                rows = [(t, k, salt, leaves) for (t, k), leaves in wanted.items() for salt in range(salts)]
+                yield pd.DataFrame(rows, columns=["tree", "block", "salt", "leaves"]).assign(asker=vid % askers, vid=vid, v=[v] * len(rows), asks=True)
 
     def score(g: pd.DataFrame) -> pd.DataFrame:
         q, c = g[g["asks"]], g[~g["asks"]]
         if not len(q) or not len(c):
             return pd.DataFrame({"qid": [], "vid": [], "score": []}).astype({"qid": "int64", "vid": "int64"})
         x, ids, out = unpack(c["v"]), c["vid"].to_numpy(), []
+        leaf_of = c["leaves"].map(lambda a: a[0]).to_numpy(np.int64) % block
         for i in range(0, len(q), 256):
-            s = unpack(q["v"].iloc[i : i + 256]) @ x.T
+            part = q.iloc[i : i + 256]
+            visited = np.zeros((len(part), block), bool)
+            for row, leaves in enumerate(part["leaves"]):
+                visited[row, np.asarray(leaves) % block] = True
+            s = np.where(visited[:, leaf_of], unpack(part["v"]) @ x.T, -np.inf)
             top = np.arange(len(ids))[None].repeat(len(s), 0) if len(ids) <= k + 1 else np.argpartition(-s, k, axis=1)[:, : k + 1]
             least = np.take_along_axis(s, top, 1).min(1)
-            hit, col = np.nonzero(s >= least[:, None] - 1e-9)  # ties at the edge stay
-            out.append(pd.DataFrame({"qid": q["vid"].to_numpy()[i + hit], "vid": ids[col], "score": s[hit, col]}))
+            hit, col = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))  # ties at the edge stay
+            out.append(pd.DataFrame({"qid": part["vid"].to_numpy()[hit], "vid": ids[col], "score": s[hit, col]}))
         return pd.concat(out)
 
-    cells = "tree int, leaf long, salt long, vid long, v array<double>, asks boolean"
+    cells = "tree int, block long, salt long, asker long, vid long, v array<double>, leaves array<long>, asks boolean"
     wanted = groups.join(asking.select("vid").distinct(), "vid").select("vid", "v")
     both = groups.select("vid", "v").mapInPandas(index, cells).unionByName(wanted.mapInPandas(ask, cells))
-    n = slices(spark, 1)
-    found = both.repartition(n, "tree", "leaf", "salt").groupBy("tree", "leaf", "salt").applyInPandas(score, "qid long, vid long, score double")
+    found = both.groupBy("tree", "block", "salt", "asker").applyInPandas(score, "qid long, vid long, score double")
     found = found.groupBy("qid", "vid").agg(F.max("score").alias("score"))
     found = stored(found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))).where(F.col("place") <= 2 * k + 2), "found")
 

@@ -9,12 +9,14 @@ from .jaccard_join import op1_jaccard_join
 from .line_dedup import op3_line_dedup
 from .mixing import op5_mix_sources
 from .neighbours import op6_nearest_neighbours
+from .pii import op2_personal_data
 from .quality import op8_quality_classifier
 from .token_counts import op10_token_counts
 from .warc import op4_warc_round_trip
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_personal_data": op2_personal_data,
     "op3_line_dedup": op3_line_dedup,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,

@@ -10,12 +10,16 @@ from .common import read, stored, text_or_empty
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_TERMS = 200_000
+END = "\x00"
 
 
 def words(col: str = "text") -> Column:
     """Maximal runs of ASCII digits and letters and of all characters outside ASCII; A-Z lower-cased."""
     parts = F.split(F.translate(text_or_empty(col), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++")
-    return F.filter(parts, lambda w: w != "")
+    # only the first and the last part can be empty
+    head, n = F.when(parts[0] == "", 2).otherwise(1), F.size(parts)
+    tail = F.when((n > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.slice(parts, head, F.greatest(F.lit(0), n - head + 1 - tail))
 
 
 def windows_of(items: DataFrame, n: int) -> DataFrame:
@@ -31,46 +35,58 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(doc_id, start, length, window, items): where windows of ``items`` stand in ``docs``, exactly or within ``slop``.
+def index_of(named: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """Positional postings (doc_id, term, pos, before, after) of the given terms in all texts, with the words next to them.
+
+    For each text there is one more posting, of the term END, which no text holds; its position is the number of words.
+    """
+    text = named.select("doc_id", words().alias("ws"))
+    posted = text.select("doc_id", "ws", F.posexplode(F.array_append("ws", F.lit(END))).alias("pos", "term")).join(small(terms.union(terms.sparkSession.range(1).select(F.lit(END))), n_terms), "term", "left_semi")
+    word = lambda at: F.when(F.col("term") != END, F.get("ws", at))
+    return posted.select("doc_id", "term", "pos", word(F.col("pos") - 1).alias("before"), word(F.col("pos") + 1).alias("after"))
+
+
+def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, start, length, window, items): where windows of ``items`` stand in ``docs``, exactly or within ``slop``;
+    and (doc_id, n_words) of each row of ``docs``.
 
     1. Term counts of the test vocabulary over all training text (summed before the shuffle).
     2. Each window is looked up by its rarest term; ties go to the smaller term, then the first position.
-    3. Positional index: postings (term, doc_id, positions) of those terms, for all training text, and the length of
-       each text. A posting moved left by its term's offset is a candidate start.
+    3. Positional index: postings of those terms, for all training text. A posting moved left by its term's offset is a
+       candidate start. An exact match also needs the word before or after, of which the window has at least one.
     4. The other terms' lists are intersected at their own offsets: for the documents with candidates all test terms are
-       indexed, and a candidate stands if for every further term its posting at start + offset exists.
+       indexed, and a candidate stands if for every term its posting at start + offset exists.
        With ``slop`` > 0 a proximity match needs each term within ``slop`` positions of its place.
-    A candidate needs a document to hold the rarest term of a window, so no bound on postings or candidates is needed.
+    A match needs the document to hold the rarest term of the window, so no bound on postings or candidates is needed.
     """
     grams = stored(windows_of(items, n), "windows")
     terms = stored(grams.select(F.explode("words").alias("term")).distinct(), "terms")
     n_terms = terms.count()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
-    text = named.select("doc_id", words().alias("ws"))
-    known = text.select(F.explode("ws").alias("term")).join(small(terms, n_terms), "term", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known = named.select(F.explode(words()).alias("term")).join(small(terms, n_terms), "term", "left_semi")
     counts = stored(known.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
     spread = grams.select("window", "items", "words", F.posexplode("words").alias("offset", "term")).join(small(counts, n_terms), "term", "left")
     first = Window.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")
-    ranked = spread.withColumn("place", F.row_number().over(first))
-    alive = ranked.groupBy("window").agg(F.count_if(F.col("df").isNull()).alias("missing")).where("missing = 0").select("window") if slop == 0 else ranked.select("window").distinct()
-    seeds = stored(ranked.where("place = 1").join(alive, "window", "left_semi").select("window", "items", "words", "offset", "term"), "seeds")
+    ranked = spread.withColumn("place", F.row_number().over(first)).where("place = 1 AND df IS NOT NULL")
+    near = {"w_before": F.get("words", F.col("offset") - 1), "w_after": F.get("words", F.col("offset") + 1)}
+    seeds = stored(ranked.select("window", "items", "words", "offset", "term").withColumns(near), "seeds")
 
-    seed_terms = seeds.select("term").distinct()
     n_seeds = seeds.count()
-    posted = text.select("doc_id", F.posexplode("ws").alias("pos", "term")).join(small(seed_terms, n_seeds), "term", "left_semi")
-    index = stored(posted, "postings")
-    starts = index.join(small(seeds, n_seeds), "term").select("doc_id", "window", "items", "words", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").distinct()
-    starts = stored(starts, "candidates")
+    index = stored(index_of(named, seeds.select("term").distinct(), n_seeds), "postings")
+    starts = index.where("doc_id IS NOT NULL").join(small(seeds, n_seeds), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    if not slop:
+        starts = starts.where("size(words) = 1 OR before = w_before OR after = w_after")
+    starts = stored(starts.where(F.col("start") >= -slop).select("doc_id", "window", "items", "words", "start").distinct(), "candidates")
 
     # All test terms, indexed for the documents that have candidates.
     some = stored(starts.select("doc_id").distinct(), "candidate-docs")
-    full = named.join(small(some, some.count()), "doc_id", "left_semi").select("doc_id", words().alias("ws")).select("doc_id", F.posexplode("ws").alias("pos", "term")).join(small(terms, n_terms), "term", "left_semi").distinct()
-    wanted = starts.select("doc_id", "start", "window", F.posexplode("words").alias("offset", "term"))
+    full = named.join(small(some, some.count()), "doc_id", "left_semi").select("doc_id", F.posexplode(words()).alias("pos", "term")).join(small(terms, n_terms), "term", "left_semi").distinct()
     shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop)) if slop else F.array(F.lit(0))).alias("shift")
+    wanted = starts.select("doc_id", "start", "window", F.posexplode("words").alias("offset", "term"))
     wanted = wanted.select("*", shifts).withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
     met = wanted.join(full, ["doc_id", "pos", "term"]).groupBy("doc_id", "start", "window").agg(F.count_distinct("offset").alias("met"))
-    return starts.join(met, ["doc_id", "start", "window"]).where("met = size(words)").select("doc_id", "start", F.size("words").alias("length"), "window", "items")
+    found = starts.join(met, ["doc_id", "start", "window"]).where("met = size(words)").select("doc_id", "start", F.size("words").alias("length"), "window", "items")
+    return stored(found, "matches"), index.where(F.col("term") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -78,20 +94,18 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFra
 
     A word inside any exact occurrence of a window of ``items`` is hit. Null texts have no words. Items without an id
     take no part; rows of ``items`` that repeat an id count as one item. Documents without an id are returned as not
-    contaminated, since nothing can be indexed under their name; rows that repeat an id share the hits of all of them.
+    contaminated, since nothing can be found under their name; rows that repeat an id share the hits of all of them.
     An empty table on either side gives the rows of ``docs`` with no hit.
     """
-    found = matches(docs, items, n)
+    found, sized = matches(docs, items, n)
     spans = found.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
     w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(w), F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
     names = found.select("doc_id", F.explode("items").alias("item")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("names"))
-    per_doc = hits.join(names, "doc_id").withColumnRenamed("doc_id", "found_id")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words()).cast("long").alias("n_words"))
-    out = sized.join(per_doc, sized["doc_id"] == per_doc["found_id"], "left")
-    return out.select(
+    per_doc = hits.join(names, "doc_id")
+    return sized.join(per_doc, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

@@ -493,3 +493,52 @@ _LOGO = "(VALUES " + ", ".join(f"({i}, '{b}', {p}::DOUBLE)" for i, row in enumer
 def logo_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, *row) for i, row in enumerate(PWM)], "pos int, a double, c double, g double, t double")
     return S.logo_heights(rows).withColumn("height", F.round("height", 9))
+
+
+# --- models ---
+
+MODEL_SEED = "tataa"
+
+
+def _model(seqs: DataFrame):
+    from .plans.analysis import background
+
+    n = C.set_sizes(seqs).agg(F.sum("seq_size"), F.sum("set_size")).first()
+    return background(seqs).add_motif(MODEL_SEED, "tata", n[0] / n[1])
+
+
+@query()
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood and site probability of each sequence; kernels are tested against enumeration of paths."""
+    from .models.training import score
+
+    seqs = sequences(spark, sf_dir).repartition("seq_id")
+    s = score(seqs, _model(seqs))
+    return s.select("contrast", "set_id", "seq_id", *[F.round(c, 6).alias(c) for c in ("log_p", "p_site", "sites")])
+
+
+@query()
+def model_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .models.training import decode
+
+    seqs = sequences(spark, sf_dir).repartition("seq_id")
+    return decode(seqs, _model(seqs)).select("contrast", "set_id", "seq_id", "n_sites", "path")
+
+
+@query()
+def model_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood before each of three steps of re-estimation."""
+    from .models.training import train_em
+
+    seqs = sequences(spark, sf_dir).repartition("seq_id")
+    _, history = train_em(seqs, _model(seqs), 3, 0.0)
+    return spark.createDataFrame([(i, round(x, 3)) for i, x in enumerate(history)], "step int, log_likelihood double")
+
+
+@query()
+def pattern_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that two tempered chains visit in a few steps."""
+    from .operators.sampler import find_mcmc
+
+    found = find_mcmc(sequences(spark, sf_dir), 4, search.Objective("mi"), search.Options(), chains=2, steps=4)
+    return spark.createDataFrame([(m, round(s, 6)) for s, m in found if s > float("-inf")], "motif string, score double")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import read, salted_join, stored, text_or_empty, word_hashes
 
-TOP = 2048
+TOP = 1024
 CLASSES = 64
 SWEEPS = 4
 BANDS = 48
@@ -117,9 +117,9 @@ def pair_counts(docs: DataFrame, words: DataFrame) -> np.ndarray:
 
     trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     rows = docs.where(trains).select(text_or_empty().alias("text")).mapInArrow(run, "code long, n long")
-    found = rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(side * side)
-    out[found["code"].to_numpy(np.int64)] = found["n"].to_numpy()
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(side, side)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import components, mix, read, salted_join, stored, text_or_empty, word_hashes
 
 BROADCAST_ROWS = 100_000
+BITS = 26
+HUBS = 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,58 +41,173 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
 
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, digest of the whole set, and the extended prefix in the order of hashes."""
+    """(doc_id, n, digest, zone): set size, digest of the whole set, and its first tokens in the order of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column("text").to_pylist(), width)
-            prefix = [s[: extended(len(s), percent)].view(np.int64) for s in sets]
-            offsets = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
-            values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+            first = [s[: zone(len(s), percent)].view(np.int64) for s in sets]
+            offsets = np.append(0, np.cumsum([len(p) for p in first])).astype(np.int32)
+            values = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))],
-                names=["doc_id", "n", "digest", "prefix"],
+                names=["doc_id", "n", "digest", "zone"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, zone array<long>")
 
 
-def extended(n, percent: int):
-    """Length of the extended prefix of a set of n, see ``candidate_pairs``."""
-    return (2 * (100 - percent) * n) // 100 + 2
+def missing(n, percent: int):
+    """How many tokens of a set of n any set that it links with can lack."""
+    return (100 - percent) * n // 100
+
+
+def run_lengths(n: int, percent: int) -> list[tuple[int, int]]:
+    """(k, length of the extended prefix) for each k of which a set of n indexes combinations, see ``candidate_pairs``.
+
+    Four tokens each where the prefix they need fits into the set, two in small sets. Sizes around the border index both,
+    so that of two sets that can link both have one kind in common.
+    """
+    lack = 100 - percent
+    most = 4 if 4 * lack < 100 else 2
+    border = -(-100 * most // (100 - most * lack))
+    ks = [k for k, ok in ((most, n >= border), (2, most > 2 and n <= 100 * border // percent + 1)) if ok]
+    return [(k, max(k * lack * n // 100, (k - 1) * lack * n // percent) + k) for k in ks]
+
+
+def zone(n, percent: int):
+    """Length of the prefix whose tokens are counted: some more than are needed if few are frequent; all of a small set."""
+    return missing(n, percent) + n // 50 + 24
 
 
 def fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def candidate_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def bit_set(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of a column of hashes: 2**BITS bits, whatever the input, summed up before the shuffle."""
+    k = F.col(key)
+    bits = [x.bitwiseAND(F.lit((1 << BITS) - 1)) + 1 for x in (k, F.shiftrightunsigned(k, BITS))]
+    bit = keys.select(F.explode(F.array(*bits)).alias("bit"))
+    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("x"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in parts.collect():
+        x = np.frombuffer(r["x"], np.uint8)
+        out[(r["at"] - 1) * len(x) : r["at"] * len(x)] = x
+    return out
+
+
+def in_bit_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    mask, found = np.uint64((1 << BITS) - 1), True
+    for at in (keys & mask, (keys >> np.uint64(BITS)) & mask):
+        found = found & ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return found
+
+
+def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
+    out = []
+    with np.errstate(over="ignore"):
+        for k, length in run_lengths(len(tokens), percent):
+            p = tokens[:length]
+            if len(p) >= k:
+                h = np.full(len(p) - k + 1, k, np.uint64)
+                for i in range(k):
+                    h = mix(h * STEP + p[i : len(p) - k + 1 + i])
+                out.append(h)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def candidate_pairs(sets: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that cover all links, and the groups (sig, node, n) of combinations that three or more sets share.
 
-    With t = ``percent`` / 100, a set x of n tokens misses at most m = (1 - t) n of them in any set it links with. Let
-    tokens be ordered by hash.
-    - Its prefix holds m + 1 tokens. Of two linked sets, all of one's prefix up to where the earlier prefix ends lies in
-      the other's, so the prefixes share a token. If no other set has it in its prefix, it is rare: the single token
-      is the signature, and gives the pair.
-    - A token in three or more prefixes is frequent. Linked sets that share only such tokens both extend the prefix to
-      2 m + 2 tokens and index each combination of two tokens that follow one another: at most 2 m of these are broken by
-      tokens that only one of the two sets has (each token of x alone breaks two, each of y alone one), so one is shared.
-    A combination of two sets gives a pair. One of three or more sets gives the pairs with its smallest set id; ``link``
+    With t = ``percent`` / 100, a set x of n tokens lacks at most m = (1 - t) n of them in any set it links with. Tokens
+    are ordered by hash; a set's zone is a prefix of some more than m + 1 tokens. A token is rare if at most three
+    sets have it in their zones, else frequent.
+    - A set with m + 1 rare tokens in its zone indexes single tokens. Let x and y be two such that link, and let x reach
+      its m + 1st rare token first. One of these tokens is in y and stands in y's zone: the pairs
+      of the at most three sets that have it contain this one.
+    - Other sets extend the prefix and index each combination of k tokens that follow one another. Each token that x alone
+      has breaks at most k of x's combinations, and each that y alone has k - 1, together at most k m; of a prefix
+      of k m + k tokens one combination is left that both have. k is 4, and 2 in small sets. Sets of the first kind index
+      their combinations too where such a set may have the same, which a Bloom filter tells.
+    Frequent tokens are known to the tasks by a Bloom filter of fixed size: what it takes for frequent by mistake only
+    adds combinations. ``texts`` are those of the sets; they are read again for the combinations, which costs less than
+    keeping longer prefixes.
+    A combination of two sets gives a pair. One of three or more sets gives the pairs with its hub, see ``star``; ``link``
     then looks whether more are needed.
     """
-    single = sets.select("node", "n", F.explode(F.expr(f"slice(prefix, 1, CAST((100 - {percent}) * n DIV 100 + 1 AS INT))")).alias("token"))
-    two = lambda g: g.where("c = 2 AND lo.node != hi.node").select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"), F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"))
-    ends = [F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")]
-    tokens = stored(single.groupBy("token").agg(*ends).where("c > 1"), "tokens")
-    extends = salted_join(single.select("node", "token"), tokens.where("c > 2").select("token"), ["token"], "node", "left_semi").select("node").distinct()
-    combos = sets.where("n > 1").join(extends, "node", "left_semi").select("node", "n", F.expr("explode(transform(sequence(1, size(prefix) - 1), i -> xxhash64(prefix[i - 1], prefix[i])))").alias("sig"))
-    groups = stored(combos.groupBy("sig").agg(*ends).where("c > 1"), "combinations")
-    shared = salted_join(combos, groups.where("c > 2").select("sig", F.col("lo.node").alias("hub"), F.col("lo.n").alias("hub_n")), ["sig"], "node")
-    shared = stored(shared, "shared-combinations")
-    hub = shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
-    pairs = two(tokens).union(two(groups)).union(hub).where(fits("na", "nb", percent)).select("a", "b").distinct()
-    return stored(pairs, "pairs"), shared.select("sig", "node", "n")
+    spark = sets.sparkSession
+    single = sets.select("node", "n", F.explode("zone").alias("token"))
+    ends = [F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("n").alias("na"), F.max("n").alias("nb")]
+    two = lambda g: g.where((F.col("c") == 2) & (F.col("a") != F.col("b")) & fits("na", "nb", percent)).select("a", "b")
+    tokens = stored(single.groupBy("token").agg(*ends, F.sum("node").alias("nodes")).where("c > 1"), "tokens")
+    frequent = spark.sparkContext.broadcast(bit_set(tokens.where("c > 3"), "token"))
+    third = tokens.where("c = 3").withColumn("m", F.col("nodes") - F.col("a") - F.col("b"))
+    third = third.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("a", "m"), ("m", "b"))])).alias("p")).select("p.*").where("a != b")
+
+    def emit(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs, nodes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for node, tokens_ in zip(b.column("node").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
+                n = len(tokens_)
+                first = tokens_[: zone(n, percent)]
+                rare = len(first) - int(in_bit_set(frequent.value, first).sum())
+                if n < 2 or (rare > missing(n, percent)) == (wanted is None):
+                    continue
+                sig = combinations(tokens_, percent)
+                if wanted is not None:
+                    sig = sig[in_bit_set(wanted.value, sig)]
+                sigs.append(sig)
+                nodes.append(np.full(len(sig), node, np.int64))
+                sizes.append(np.full(len(sig), n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["sig", "node", "n"])
+
+    hard = stored(texts.mapInArrow(emit, "sig long, node long, n long"), "combinations")
+    wanted = spark.sparkContext.broadcast(bit_set(hard, "sig"))
+    easy = stored(texts.mapInArrow(lambda it: emit(it, wanted), "sig long, node long, n long"), "more-combinations")
+    combos = hard.unionByName(easy)
+    groups = stored(combos.groupBy("sig").agg(*ends).where("c > 1"), "groups")
+    shared = stored(salted_join(combos, groups.where("c > 2").select("sig"), ["sig"], "node"), "shared-combinations")
+    pairs = two(tokens).union(third).union(two(groups)).union(star(shared.withColumn("component", F.col("node")), percent))
+    return stored(pairs.distinct(), "pairs"), shared.select("sig", "node", "n")
+
+
+def star(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the hub of each combination with the others of its sets that lie in other components.
+
+    The hub is the set whose combinations are shared most: among near copies that is the one they all come from, which
+    links with most of them, so most combinations need no other pair.
+    """
+    often = salted_join(rows, rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), ["sig"], "node")
+    central = often.groupBy("node").agg(F.sum("c").alias("shared"))
+    hubs = rows.join(central, "node").groupBy("sig").agg(F.max(F.struct("shared", "node", F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("hub")).select("sig", "hub.node", "hub.hub_n", "hub.hub_component")
+    both = salted_join(rows, hubs.withColumnRenamed("node", "hub"), ["sig"], "node").where((F.col("component") != F.col("hub_component")) & fits("n", "hub_n", percent))
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs whose zones alone show that one set lacks more of the other than a link allows.
+
+    Most pairs that share some token only go here, for a fifth of what their whole sets would take.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y, nx, ny in zip(b.column("x"), b.column("y"), b.column("nx").to_pylist(), b.column("ny").to_pylist(), strict=True):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                ends = [z[-1] for z, n in ((x, nx), (y, ny)) if len(z) < n]
+                if ends:
+                    x, y = x[x <= min(ends)], y[y <= min(ends)]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                least = -(-percent * (nx + ny) // (100 + percent))
+                ok.append(len(x) - both <= nx - least and len(y) - both <= ny - least)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x = sets.select(F.col("node").alias("a"), F.col("zone").alias("x"), F.col("n").alias("nx"))
+    y = sets.select(F.col("node").alias("b"), F.col("zone").alias("y"), F.col("n").alias("ny"))
+    return stored(pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long").distinct(), "screened")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, width: int, percent: int) -> DataFrame:
@@ -111,14 +228,14 @@ def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, width: int, pe
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id")
     arrays = stored(rows.select("node", "digest", "text").mapInArrow(whole, "node long, tokens binary").dropDuplicates(["node"]), "whole-sets")
     x, y = arrays.select(F.col("node").alias("a"), F.col("tokens").alias("x")), arrays.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return salted_join(pairs, x, ["a"], "b").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -135,21 +252,35 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes")
     owner = nodes.select("digest", "node", F.col("node").alias("doc_id"))
-    reps = filled.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    reps = stored(reps.select(F.col("doc_id").alias("node"), "n", "prefix").dropDuplicates(["node", "n", "prefix"]), "prefixes")
-    pairs, groups = candidate_pairs(reps, percent)
-    links = stored(verified(pairs, docs, owner, width, percent), "links")
+    # Copies aren't read again: their ids, unless they name a node too, are left out.
+    copies = filled.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_anti").select("doc_id")
+    copies = stored(copies.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    reps = filled.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "zone")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
+    pairs, groups = candidate_pairs(reps, texts, width, percent)
+    links = stored(verified(screened(pairs, reps, percent), docs, owner, width, percent), "links")
     labels = stored(components(links), "labels")
 
-    # Combinations whose sets fell into more than one component: the other pairs between components.
-    at = groups.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_ = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-    at = stored(salted_join(at, open_, ["sig"], "node", "left_semi"), "open")
-    x, y = at.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), at.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    more = x.join(y, "sig").where(F.expr("a < b AND ca != cb") & fits("na", "nb", percent)).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "more-pairs")
-    if not more.isEmpty():
-        links = links.union(stored(verified(more, docs, owner, width, percent), "more-links"))
+    # Combinations whose sets fell into more than one component get other hubs, and at last all pairs between components.
+    rows, tried = groups, pairs
+    for turn in range(HUBS):
+        at = rows.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+        open_ = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
+        rows = stored(salted_join(at, open_, ["sig"], "node", "left_semi"), "open")
+        if rows.isEmpty():
+            break
+        if turn < HUBS - 1:
+            more = star(rows, percent)
+        else:
+            x, y = rows.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), rows.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+            more = x.join(y, "sig").where(F.expr("a < b AND ca != cb") & fits("na", "nb", percent)).select("a", "b").distinct()
+        more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        rows = rows.select("sig", "node", "n")
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        links = stored(links.union(verified(screened(more, reps, percent), docs, owner, width, percent)), "links")
         labels = stored(components(links), "labels")
     known = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = salted_join(sets.select("doc_id", "n", "digest"), known, ["digest"], "doc_id", "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, salted_join, stored, text_or_empty, word_hashes
+from .common import read, stored, text_or_empty, word_hashes
 
 TOP = 1024
 CLASSES = 64
@@ -244,7 +244,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
             out.append((doc, held, len(t), int((c[t] > 0).sum()), float(base[t].sum()), float(emit[t].sum()), code.astype("<u2").tobytes() + n.astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "steps"]).astype({"doc_id": "Int64"})
 
-    answers = salted_join(words.select("chunk", "word", "hash"), vocabulary, ["hash"], "chunk").select("chunk", "word", "hash", "c")
+    answers = words.select("chunk", "word", "hash").join(vocabulary, "hash").select("chunk", "word", "hash", "c")
     read_ = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(read_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, steps binary")
     read_ = stored(read_, "read")
 

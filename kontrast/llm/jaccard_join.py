@@ -283,7 +283,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         links = stored(links.union(verified(screened(more, reps, percent), docs, owner, width, percent)), "links")
         labels = stored(components(links), "labels")
     known = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = salted_join(sets.select("doc_id", "n", "digest"), known, ["digest"], "doc_id", "left")
+    out = sets.select("doc_id", "n", "digest").join(known, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 

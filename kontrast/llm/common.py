@@ -128,3 +128,9 @@ def components(edges: DataFrame) -> DataFrame:
         e = step(step(e, True), False)
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def hashed_share(df: DataFrame, col: str, n: int, want: int):
+    """Rows of some ``want`` hashed ids of ``n``, twice as many in the mean, so that no task offers more to a limit."""
+    unit = F.shiftrightunsigned(F.xxhash64(F.col(col), F.lit(21)), 11) / float(2**53)
+    return df if n <= 2 * want else df.where(unit < 2 * want / n)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import hashed_share, read, stored
 
 SAMPLE = 65_536
 LEAF = 1024
@@ -96,7 +96,7 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` rows of largest inner product that the forest finds for each query row: (query_id, rank, vec_id, score).
 
-    The trees are grown on at most ``sample`` rows (those of smallest hashed id); every row is indexed. A search visits
+    The trees are grown on at most ``sample`` rows (of a share of hashed ids); every row is indexed. A search visits
     ``share`` of all leaves, in the order of one queue over all trees, and every candidate there is scored exactly.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id, nor
     vectors whose length isn't the most common one. Rows with equal vectors are indexed once and stand for their k + 1
@@ -125,7 +125,7 @@ def nearest(
     total = groups.count()
     fit = groups.select("vid", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
     longest = fit.agg(F.max("norm")).first()[0]
-    picked = fit.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    picked = hashed_share(fit, "vid", total, sample).orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toArrow()["v"].combine_chunks()
     lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, longest**2 - (x * x).sum(1)))[:, None]])  # noqa: E731  nearness then is distance
     base = lift(picked.flatten().to_numpy().reshape(len(picked), -1))
     forest = [Tree.grow(base, leaf, np.random.default_rng(seed + t)) for t in range(trees)]

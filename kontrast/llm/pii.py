@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import hashed_share, read
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest candidate segment in tokens and code points, and the context read around each digit or at-sign.
@@ -323,10 +323,11 @@ def training_set(texts: list[str], n: int = 1500, seed: int = 5) -> list[tuple[s
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learns from made-up items and from base matches in at most ``sample`` texts, those of smallest hashed id, cut to
+    """Learns from made-up items and from base matches in at most ``sample`` texts of a share of hashed ids, cut to
     20,000 code points for training only."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, 20_000).alias("text"))
     rows = rows.where(F.regexp_like("text", F.lit("[0-9@]")) | (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0))
+    rows = hashed_share(rows, "doc_id", docs.count(), sample)
     texts = [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
     field = Field()
     field.learn(training_set(texts))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, read, stored, text_or_empty
+from .common import hash_words, hashed_share, mix, read, stored, text_or_empty
 
 BITS = 20
 BLOCK = 1 << 14
@@ -88,11 +88,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """Counts, over all of ``docs``, the texts that have each feature, and the same for labelled texts of each class.
 
-    The labelled rows are at most ``labelled``, those of smallest hashed id. A document labelled more than once counts
+    The labelled rows are at most ``labelled``, of a share of hashed ids. A document labelled more than once counts
     as toxic if any label says so, else as low if any does; labels that are null in either column are left out.
     """
     kinds = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id"))
-    kinds = kinds.agg(F.max(class_of(F.col("quality"), F.col("toxic"))).alias("kind")).where("kind IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(labelled)
+    kinds = kinds.agg(F.max(class_of(F.col("quality"), F.col("toxic"))).alias("kind")).where("kind IS NOT NULL")
+    kinds = stored(kinds, "labelled")
+    kinds = hashed_share(kinds, "label_id", kinds.count(), labelled).orderBy(F.xxhash64("label_id"), "label_id").limit(labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(kinds), F.col("doc_id") == F.col("label_id"), "left").select("text", "kind")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ TOP = 1024
 CLASSES = 64
 SWEEPS = 4
 BANDS = 48
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 3_000_000
 SMOOTHING = 64.0
 #: The token that ends each text; no word has this hash but by a chance of one in 2**64.
 END = np.uint64(0)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     in a class of their own, as for the base; that class is expected after another as often as words seen once are.
     Transitions are smoothed by the classes' shares. So the probabilities of all V + 1 types sum to 1 in each context.
 
-    Word counts meet texts over chunks of about a million words: each chunk asks once for each of its words, so the
+    Word counts meet texts over chunks of about three million words: each chunk asks once for each of its words, so the
     commonest word is asked for once a chunk and not once a text. Repeated rows are scored, and counted, each.
     """
     spark = docs.sparkSession

@@ -52,3 +52,16 @@ def test_exchange_finds_planted_classes_and_never_loses():
     full = np.append(perm, [words, words + 1])
     own = exchange(n[np.ix_(full, full)], 3, 10)
     assert len({(a, b) for a, b in zip(own, kind[perm], strict=True)}) == 3
+
+
+def test_words_beyond_the_commonest_get_classes_too(spark):
+    """Words of two kinds take turns, half of them rare: classes that know the kind of rare words halve their choice."""
+    rng = np.random.default_rng(1)
+    names = [[f"{k}{i}" for i in range(210)] for k in "nv"]
+    odds = np.repeat([0.05, 0.0025], [10, 200])
+    rows = [(i, " ".join(rng.choice(names[k], p=odds) for _ in range(20) for k in (0, 1))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in score(df, top=20).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    # with both kinds known throughout it is log10(2), less what smoothing takes
+    assert gain > 0.2, gain

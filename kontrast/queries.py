@@ -168,6 +168,29 @@ def wiggle_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.shifted(w, "word", 2)
 
 
+@query(f"""WITH w AS (SELECT word, unnest(range(1, length(word) - 3)) AS i FROM ({_WORDS}) WHERE length(word) >= 5)
+SELECT DISTINCT word, CAST('0x' || translate(word, 'acgtmrwsykvhdbn', '12483596ac7bdef') AS BIGINT) AS code, word AS back FROM (SELECT substring(word, i, 5) AS word FROM w)""")
+def packed_codes_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As packed_codes, for all windows of five letters and not the first only."""
+    w = _letters(spark, sf_dir).where("length(word) >= 5").select(F.explode(F.sequence(F.lit(1), F.length("word") - 4)).alias("i"), "word")
+    w = w.select(F.substring(F.col("word"), F.col("i"), F.lit(5)).alias("word")).distinct()
+    return w.withColumn("code", A.packed(F.col("word"), 5)).withColumn("back", A.unpacked(F.col("code"), 5))
+
+
+@query(f"""SELECT DISTINCT word, substring(word, 1, i - 1) || g.y || substring(word, i + 1) AS child
+FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM ({_WORDS})) JOIN {_GEN} ON substring(word, i, 1) = g.x""")
+def all_generalizations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As all_generalizations, for whole words of any length."""
+    return A.generalizations(_letters(spark, sf_dir), "word").distinct()
+
+
+@query(f"""SELECT word, CASE WHEN s >= 0 THEN repeat('n', s) || substring(word, 1, length(word) - s) ELSE substring(word, 1 - s) || repeat('n', -s) END AS variant
+FROM (SELECT word, CAST(unnest(range(-2, 3)) AS INT) AS s FROM ({_WORDS}) WHERE length(word) >= 2)""")
+def wiggle_variants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As wiggle_variants, for whole words; a shift by two needs two letters."""
+    return A.shifted(_letters(spark, sf_dir).where("length(word) >= 2"), "word", 2)
+
+
 # --- counting ---
 
 

@@ -61,6 +61,20 @@ def test_strands_and_codes(spark):
         A.packed(F.lit("a"), 16)
 
 
+def test_alphabet_queries_take_whole_words(spark):
+    from kontrast import queries as Q
+
+    at = "/root/testdata/sf0.001"
+    words = {r.word for r in Q._letters(spark, at).collect()}
+    more = {x: [A.LETTER[A.CODE[x] | bit] for bit in (1, 2, 4, 8) if not A.CODE[x] & bit] for x in A.IUPAC}
+    kids = {(w, w[:i] + y + w[i + 1 :]) for w in words for i in range(len(w)) for y in more[w[i]]}
+    assert {tuple(r) for r in Q.QUERIES["all_generalizations_whole"](spark, at).collect()} == kids
+    shifts = sorted((w, "n" * s + w[: len(w) - s] if s >= 0 else w[-s:] + "n" * -s) for w in words if len(w) > 1 for s in range(-2, 3))
+    assert sorted(tuple(r) for r in Q.QUERIES["wiggle_variants_whole"](spark, at).collect()) == shifts
+    windows = {w[i : i + 5] for w in words for i in range(len(w) - 4)}
+    assert {(r.word, r.back) for r in Q.QUERIES["packed_codes_all_windows"](spark, at).collect()} == {(w, w) for w in windows}
+
+
 def test_counting_edges(spark):
     s = make(spark, [["aaaa", "acgt", "a", "", "anaaa"]])
     by = lambda **k: {r.word: r.n for r in C.word_counts(s, 2, **k).collect()}

@@ -377,14 +377,14 @@ def beam_one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search at one length, both strands; tests hold it against enumeration."""
+    """Search at one length, both strands, by 10 candidates up to 3 of 12 degrees of degeneracy."""
     found = search.find_seeds(sequences(spark, sf_dir), 4, search.Objective("mi"), search.Options(candidates=10, both_strands=True, max_degeneracy=3))
     return found.select("motif", "degeneracy", F.round("score", 6).alias("score"))
 
 
 @query()
 def repeated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best pattern over two lengths, masked, twice."""
+    """Best pattern over two lengths, masked, twice; 5 candidates, one degree of degeneracy."""
     found = search.find_multiple(sequences(spark, sf_dir), [3, 4], 2, search.Objective("mi"), search.Options(candidates=5, max_degeneracy=1))
     return spark.createDataFrame([(f.motif, round(f.score, 6), round(f.log_p, 5)) for f in found], "motif string, score double, log_p double")
 
@@ -560,7 +560,7 @@ def model_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pattern_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns that two tempered chains visit in a few steps."""
+    """Patterns that two tempered chains visit in four steps; they hardly leave their random starts."""
     from .operators.sampler import find_mcmc
 
     found = find_mcmc(sequences(spark, sf_dir), 4, search.Objective("mi"), search.Options(), chains=2, steps=4)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_recorders: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,11 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the warehouse; in local mode a temporary one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/kontrast-tables"
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="kontrast-")
         atexit.register(shutil.rmtree, _own_dir, True)
@@ -35,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +53,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        deleted(df.sparkSession, df.stored_at)
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of all that is stored meanwhile, so that it can be deleted once the result has been written."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets the session drop shuffles that nothing uses any more; long jobs would pile them up on the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def slices(spark: SparkSession, n: int) -> int:
@@ -125,7 +164,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := mark(e)) != before:
         before = now
-        e = step(step(e, True), False)
+        middle = step(e, True)
+        after = step(middle, False)
+        release(e, middle)
+        e = after
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 

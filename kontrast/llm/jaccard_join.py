@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, read, salted_join, stored, text_or_empty, word_hashes
+from .common import components, mix, read, release, salted_join, slices, stored, swept, text_or_empty, word_hashes
 
-BROADCAST_ROWS = 100_000
-BITS = 26
-HUBS = 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens and texts of a chunk, tokens of a bucket: what one task holds at a time.
+CHUNK_TOKENS, CHUNK_TEXTS, BUCKET_TOKENS = 2_000_000, 60_000, 2_000_000
+#: In place of a text's number: the token stands in several sets of its chunk; the text is not counted.
+MANY = NONE = 0xFFFF
+BROADCAST_ROWS = 200_000
+#: Frequency classes of tokens, see ``frequency_class``: up to RARE they are indexed singly, up to MIDDLE in twos.
+RARE, MIDDLE = 3, 7
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -40,252 +47,407 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, zone): set size, digest of the whole set, and its first tokens in the order of hashes."""
+def digest_of(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), width)
-            first = [s[: zone(len(s), percent)].view(np.int64) for s in sets]
-            offsets = np.append(0, np.cumsum([len(p) for p in first])).astype(np.int32)
-            values = np.concatenate(first) if first else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))],
-                names=["doc_id", "n", "digest", "zone"],
-            )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, zone array<long>")
+def pack(tokens: np.ndarray, values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers and a 16-bit value for each: differences and values by byte planes, compressed."""
+    steps = np.diff(tokens).astype("<u8")
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    planes = steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    values = values.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<IBQ", len(tokens), width, int(tokens[0])) + planes + values)
 
 
-def missing(n, percent: int):
-    """How many tokens of a set of n any set that it links with can lack."""
-    return (100 - percent) * n // 100
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, width, first = struct.unpack_from("<IBQ", raw)
+    at = struct.calcsize("<IBQ")
+    steps = np.zeros((n - 1, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, at).reshape(width, n - 1).T
+    values = np.frombuffer(raw, np.uint8, 2 * n, at + (n - 1) * width).reshape(2, n).T.copy().view("<u2").ravel()
+    with np.errstate(over="ignore"):
+        tokens = np.cumsum(np.append(np.uint64(first), steps.view("<u8").ravel()), dtype=np.uint64)
+    return tokens, values
 
 
-def run_lengths(n: int, percent: int) -> list[tuple[int, int]]:
-    """(k, length of the extended prefix) for each k of which a set of n indexes combinations, see ``candidate_pairs``.
+def by_bucket(tokens: np.ndarray, values: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Packed parts of rising ``bits``-bit tokens; buckets are ranges, so the parts in their order are the whole list."""
+    top = tokens >> np.uint64(max(0, bits - 32))
+    at, start = np.unique(top * np.uint64(buckets) >> np.uint64(min(bits, 32)), return_index=True)
+    for i, a, b in zip(at, start, [*start[1:], len(tokens)], strict=True):
+        yield int(i), pack(tokens[a:b], values[a:b])
 
-    Four tokens each where the prefix they need fits into the set, two in small sets. Sizes around the border index both,
-    so that of two sets that can link both have one kind in common.
+
+def counted_texts(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, digest, own): set size, digest of the set, and how many of its tokens are in no other set, at most.
+
+    A chunk, the texts that a task has read up to CHUNK_TOKENS tokens, names each of its distinct tokens once, with the
+    number of its text, or with MANY where several texts with different sets have it. Buckets, ranges of tokens, tell the
+    chunks how many tokens of each text nobody else has named. Tokens are cut to some bits more than tell all tokens
+    apart: where two are taken for one, ``own`` is too small, which adds work and never hides a link. So the commonest
+    token is named once a chunk, and a text once.
     """
-    lack = 100 - percent
-    most = 4 if 4 * lack < 100 else 2
-    border = -(-100 * most // (100 - most * lack))
-    ks = [k for k, ok in ((most, n >= border), (2, most > 2 and n <= 100 * border // percent + 1)) if ok]
-    return [(k, max(k * lack * n // 100, (k - 1) * lack * n // percent) + k) for k in ks]
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = min(48, max(32, (size // 2).bit_length() + 8))
+    buckets = slices(spark, size // 6 // BUCKET_TOKENS + 1)
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("texts", pa.binary()), ("tokens", pa.binary())])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        ids, sizes, digests, places, sets, seen, held = [], [], [], [], [], {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held
+            name = (part << 24) | number
+            number += 1
+            named = np.array([x is not None for x in ids])
+            texts = struct.pack("<I", len(ids)) + np.array([x or 0 for x in ids], "<i8").tobytes() + named.tobytes() + np.array(sizes, "<i8").tobytes() + np.array(places, "<u2").tobytes() + b"".join(digests)
+            out = [(-1 - name % buckets, name, texts, None)]
+            if sets:
+                own = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+                both = np.sort((np.concatenate(sets) >> np.uint64(64 - bits) << np.uint64(16)) | own)
+                token = both >> np.uint64(16)
+                first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+                place = (both[first] & np.uint64(0xFFFF)).astype(np.uint16)
+                place[np.diff(np.append(first, len(token))) > 1] = MANY
+                out += [(i, name, None, blob) for i, blob in by_bucket(token[first], place, bits, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            for x in (ids, sizes, digests, places, sets, seen):
+                x.clear()
+            held = 0
 
+        for b in batches:
+            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
+                digest, place = digest_of(s), NONE
+                if len(s) and doc is not None:
+                    if (place := seen.get(digest, NONE)) == NONE:
+                        place = seen[digest] = len(sets)
+                        sets.append(s)
+                        held += len(s)
+                ids.append(doc)
+                sizes.append(len(s))
+                digests.append(digest)
+                places.append(place)
+                if held >= CHUNK_TOKENS or len(ids) >= CHUNK_TEXTS:
+                    yield from flush()
+        if ids:
+            yield from flush()
+
+    def alone(key, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return rows[["chunk", "texts"]].assign(counts=None)
+        parts = [unpack(x) for x in rows["tokens"]]
+        token, n = np.unique(np.concatenate([t for t, _ in parts]), return_counts=True)
+        out = []
+        for chunk, (t, place) in zip(rows["chunk"], parts, strict=True):
+            mine = place[(place != MANY) & (n[np.searchsorted(token, t)] == 1)]
+            if len(mine):
+                out.append((chunk, None, zstandard.ZstdCompressor(level=1).compress(np.bincount(mine).astype("<u4").tobytes())))
+        return pd.DataFrame(out, columns=["chunk", "texts", "counts"])
+
+    def summed(key, rows: pd.DataFrame) -> pd.DataFrame:
+        raw = rows["texts"].dropna().iloc[0]
+        n = struct.unpack_from("<I", raw)[0]
+        ids = pd.Series(np.frombuffer(raw, "<i8", n, 4), dtype="Int64").where(np.frombuffer(raw, bool, n, 4 + 8 * n))
+        place = np.frombuffer(raw, "<u2", n, 4 + 17 * n)
+        total = np.zeros(NONE + 1, np.int64)
+        for blob in rows["counts"].dropna():
+            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
+            total[: len(counts)] += counts
+        total[NONE] = 0
+        digests = raw[4 + 19 * n :]
+        return pd.DataFrame({"doc_id": ids, "n": np.frombuffer(raw, "<i8", n, 4 + 9 * n), "digest": [digests[16 * i : 16 * i + 16] for i in range(n)], "own": total[place]})
+
+    asked = rows.mapInArrow(chunks, "bucket int, chunk long, texts binary, tokens binary")
+    answers = asked.groupBy("bucket").applyInPandas(alone, "chunk long, texts binary, counts binary")
+    return stored(answers.groupBy("chunk").applyInPandas(summed, "doc_id long, n long, digest binary, own long"), "texts")
+
+
+def sets_of(docs: DataFrame, alive: DataFrame, width: int) -> DataFrame:
+    """(chunk, nodes, sizes, tokens): the sets of the nodes in ``alive`` (node, doc_id, digest), some at a time."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    wanted = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
+    schema = pa.schema([("chunk", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, held = TaskContext.get().partitionId(), 0, {}
+
+        def flush() -> pa.RecordBatch:
+            cells = [(part << 24) | number, np.array(list(held), "<i8").tobytes(), np.array([len(s) for s in held.values()], "<i8").tobytes(), np.concatenate(list(held.values())).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, schema.types, strict=True)], schema=schema)
 
-def zone(n, percent: int):
-    """Length of the prefix whose tokens are counted: some more than are needed if few are frequent; all of a small set."""
-    return missing(n, percent) + n // 50 + 24
+        for b in batches:
+            for node, digest, s in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
+                if digest_of(s) == digest:
+                    held[node] = s
+            if sum(map(len, held.values())) >= CHUNK_TOKENS // 4:
+                yield flush()
+                held, number = {}, number + 1
+        if held:
+            yield flush()
 
+    picked = rows.join(wanted.select("node", "doc_id", "digest"), "doc_id").select("node", "digest", "text")
+    return stored(picked.mapInArrow(chunks, "chunk long, nodes binary, sizes binary, tokens binary"), "sets")
 
-def fits(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+def frequency_class(n: np.ndarray) -> np.ndarray:
+    """1, 2 and 3 for as many sets; 4 for 4 to 7, 5 for 8 to 15 and so on."""
+    return np.where(n < 4, n, 2 + np.floor(np.log2(np.maximum(n, 4)))).astype(np.uint8)
 
-def bit_set(keys: DataFrame, key: str) -> np.ndarray:
-    """A Bloom filter of a column of hashes: 2**BITS bits, whatever the input, summed up before the shuffle."""
-    k = F.col(key)
-    bits = [x.bitwiseAND(F.lit((1 << BITS) - 1)) + 1 for x in (k, F.shiftrightunsigned(k, BITS))]
-    bit = keys.select(F.explode(F.array(*bits)).alias("bit"))
-    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("x"))
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in parts.collect():
-        x = np.frombuffer(r["x"], np.uint8)
-        out[(r["at"] - 1) * len(x) : r["at"] * len(x)] = x
-    return out
+
+def missing(n: int, percent: int) -> int:
+    """How many tokens of a set of n any set that it links with can lack."""
+    return (100 - percent) * n // 100
 
 
-def in_bit_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    mask, found = np.uint64((1 << BITS) - 1), True
-    for at in (keys & mask, (keys >> np.uint64(BITS)) & mask):
-        found = found & ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    return found
+def run_length(k: int, n: int, own: int, percent: int) -> int:
+    """Tokens of the extended prefix that leaves one common combination of ``k`` tokens, see ``signatures``."""
+    lack = (100 - percent) * n - 100 * own
+    return max(k * lack // 100, (k - 1) * lack // percent) + k
 
 
-def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
-    out = []
+def combinations(tokens: np.ndarray, k: int, kind: int) -> np.ndarray:
+    if len(tokens) < k:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        for k, length in run_lengths(len(tokens), percent):
-            p = tokens[:length]
-            if len(p) >= k:
-                h = np.full(len(p) - k + 1, k, np.uint64)
-                for i in range(k):
-                    h = mix(h * STEP + p[i : len(p) - k + 1 + i])
-                out.append(h)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def candidate_pairs(sets: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that cover all links, and the groups (sig, node, n) of combinations that three or more sets share.
-
-    With t = ``percent`` / 100, a set x of n tokens lacks at most m = (1 - t) n of them in any set it links with. Tokens
-    are ordered by hash; a set's zone is a prefix of some more than m + 1 tokens. A token is rare if at most three
-    sets have it in their zones, else frequent.
-    - A set with m + 1 rare tokens in its zone indexes single tokens. Let x and y be two such that link, and let x reach
-      its m + 1st rare token first. One of these tokens is in y and stands in y's zone: the pairs
-      of the at most three sets that have it contain this one.
+        h = np.full(len(tokens) - k + 1, kind, np.uint64)
+        for i in range(k):
+            h = mix(h * STEP + tokens[i : len(tokens) - k + 1 + i])
+    return h
+
+
+def signatures(n: int, own: int, tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """What a set of n is indexed by: of two sets that link, one signature at least is in both.
+
+    ``own`` of its tokens are in no other set; the others are ordered by frequency class, then hash, rarest first, which
+    is one order for all sets. The set lacks at most m - own of these in a set that it links with. So the first token that
+    two sets have in common is among the first m - own + 1 of either, their prefixes.
+    - Rare tokens of the prefix are indexed singly. That covers each pair one of whose prefixes holds rare ones only.
     - Other sets extend the prefix and index each combination of k tokens that follow one another. Each token that x alone
-      has breaks at most k of x's combinations, and each that y alone has k - 1, together at most k m; of a prefix
-      of k m + k tokens one combination is left that both have. k is 4, and 2 in small sets. Sets of the first kind index
-      their combinations too where such a set may have the same, which a Bloom filter tells.
-    Frequent tokens are known to the tasks by a Bloom filter of fixed size: what it takes for frequent by mistake only
-    adds combinations. ``texts`` are those of the sets; they are read again for the combinations, which costs less than
-    keeping longer prefixes.
-    A combination of two sets gives a pair. One of three or more sets gives the pairs with its hub, see ``star``; ``link``
-    then looks whether more are needed.
+      has breaks at most k of x's combinations, and each that y alone has k - 1; of a prefix of ``run_length`` tokens one
+      combination is left that both have, and it is in both prefixes, as that of the prefix that ends first.
+    - k is 2 for combinations whose tokens are of middle frequency at most. That covers each pair one of whose extended
+      prefixes holds no commoner ones.
+    - Sets left index combinations of 4 tokens, however common, or of 2 where so long a prefix doesn't fit into the set.
+      Sizes around that border index both, so that of two sets that can link both have one kind in common.
+    """
+    need = missing(n, percent) - own + 1
+    first = classes[:need]
+    out = [combinations(tokens[:need][first <= RARE], 1, 1)]
+    if (first > RARE).any():
+        length = run_length(2, n, own, percent)
+        middle = tokens[:length][classes[:length] <= MIDDLE]
+        out.append(combinations(middle, 2, 2))
+        if (classes[:length] > MIDDLE).any():
+            border = -(-400 // (100 - 4 * (100 - percent)))
+            if n >= border:
+                out.append(combinations(tokens[: run_length(4, n, own, percent)], 4, 4))
+            if n <= 100 * border // percent + 1:
+                out.append(combinations(tokens[:length], 2, 3))
+    return np.unique(np.concatenate(out))
+
+
+def indexed(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, own, central, shared, sigs) for the nodes that can link with some other by the frequencies of their tokens.
+
+    ``shared`` are the tokens that other sets have too, ``central`` is the mean frequency class of all tokens.
+    Frequencies over all chunks are counted in buckets, as in ``counted_texts``; the answers go back to the chunks.
     """
     spark = sets.sparkSession
-    single = sets.select("node", "n", F.explode("zone").alias("token"))
-    ends = [F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("n").alias("na"), F.max("n").alias("nb")]
-    two = lambda g: g.where((F.col("c") == 2) & (F.col("a") != F.col("b")) & fits("na", "nb", percent)).select("a", "b")
-    tokens = stored(single.groupBy("token").agg(*ends, F.sum("node").alias("nodes")).where("c > 1"), "tokens")
-    frequent = spark.sparkContext.broadcast(bit_set(tokens.where("c > 3"), "token"))
-    third = tokens.where("c = 3").withColumn("m", F.col("nodes") - F.col("a") - F.col("b"))
-    third = third.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("a", "m"), ("m", "b"))])).alias("p")).select("p.*").where("a != b")
-
-    def emit(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+    size = sets.agg(F.coalesce(F.sum(F.length("tokens").cast("long")), F.lit(0))).first()[0] // 8
+    buckets = slices(spark, size // BUCKET_TOKENS + 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, nodes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for node, tokens_ in zip(b.column("node").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
-                n = len(tokens_)
-                first = tokens_[: zone(n, percent)]
-                rare = len(first) - int(in_bit_set(frequent.value, first).sum())
-                if n < 2 or (rare > missing(n, percent)) == (wanted is None):
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                token, n = np.unique(np.frombuffer(blob, "<u8"), return_counts=True)
+                parts = list(by_bucket(token, np.minimum(n, 0xFFFF), 64, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "chunk", "tokens"])
+
+    def answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(x) for x in rows["tokens"]]
+        token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        kind = frequency_class(np.bincount(at, np.concatenate([n for _, n in parts]), len(token)))[at]
+        ends = np.cumsum([len(t) for t, _ in parts])
+        return pd.DataFrame({"bucket": key[0], "chunk": rows["chunk"], "classes": [x.tobytes() for x in np.split(kind, ends[:-1])]})
+
+    def index(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        kinds = np.frombuffer(b"".join(answers.sort_values("bucket")["classes"]), np.uint8)
+        for nodes, sizes, blob in zip(rows["nodes"], rows["sizes"], rows["tokens"], strict=True):
+            tokens = np.frombuffer(blob, "<u8")
+            kind = kinds[np.unique(tokens, return_inverse=True)[1]]
+            ends = np.append(0, np.cumsum(np.frombuffer(sizes, "<i8")))
+            for node, a, b in zip(np.frombuffer(nodes, "<i8"), ends[:-1], ends[1:], strict=True):
+                t, c, n = tokens[a:b], kind[a:b], int(b - a)
+                own = int((c == 1).sum())
+                if own > missing(n, percent):
                     continue
-                sig = combinations(tokens_, percent)
-                if wanted is not None:
-                    sig = sig[in_bit_set(wanted.value, sig)]
-                sigs.append(sig)
-                nodes.append(np.full(len(sig), node, np.int64))
-                sizes.append(np.full(len(sig), n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["sig", "node", "n"])
-
-    hard = stored(texts.mapInArrow(emit, "sig long, node long, n long"), "combinations")
-    wanted = spark.sparkContext.broadcast(bit_set(hard, "sig"))
-    easy = stored(texts.mapInArrow(lambda it: emit(it, wanted), "sig long, node long, n long"), "more-combinations")
-    combos = hard.unionByName(easy)
-    groups = stored(combos.groupBy("sig").agg(*ends).where("c > 1"), "groups")
-    shared = stored(salted_join(combos, groups.where("c > 2").select("sig"), ["sig"], "node"), "shared-combinations")
-    pairs = two(tokens).union(third).union(two(groups)).union(star(shared.withColumn("component", F.col("node")), percent))
-    return stored(pairs.distinct(), "pairs"), shared.select("sig", "node", "n")
-
-
-def star(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the hub of each combination with the others of its sets that lie in other components.
-
-    The hub is the set whose combinations are shared most: among near copies that is the one they all come from, which
-    links with most of them, so most combinations need no other pair.
-    """
-    often = salted_join(rows, rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), ["sig"], "node")
-    central = often.groupBy("node").agg(F.sum("c").alias("shared"))
-    hubs = rows.join(central, "node").groupBy("sig").agg(F.max(F.struct("shared", "node", F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("hub")).select("sig", "hub.node", "hub.hub_n", "hub.hub_component")
-    both = salted_join(rows, hubs.withColumnRenamed("node", "hub"), ["sig"], "node").where((F.col("component") != F.col("hub_component")) & fits("n", "hub_n", percent))
-    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+                central, t, c = float(c.mean()), t[c > 1], c[c > 1]
+                order = np.argsort(c, kind="stable")  # tokens of a set come by hash
+                out.append((node, n, own, central, t.view("<i8"), signatures(n, own, t[order], c[order], percent).view("<i8")))
+        return pd.DataFrame(out, columns=["node", "n", "own", "central", "shared", "sigs"])
 
+    asked = sets.mapInArrow(ask, "bucket int, chunk long, tokens binary")
+    answers = asked.groupBy("bucket").applyInPandas(answer, "bucket int, chunk long, classes binary")
+    both = sets.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return stored(both.applyInPandas(index, "node long, n long, own long, central double, shared array<long>, sigs array<long>"), "indexed")
 
-def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Without the pairs whose zones alone show that one set lacks more of the other than a link allows.
 
-    Most pairs that share some token only go here, for a fifth of what their whole sets would take.
-    """
+def linked(both: Column | str, x: str, y: str, percent: int) -> Column:
+    """Whether sets of sizes x and y that differ in ``both`` tokens link."""
+    return (100 + percent) * both <= (100 - percent) * (F.col(x) + F.col(y))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y, nx, ny in zip(b.column("x"), b.column("y"), b.column("nx").to_pylist(), b.column("ny").to_pylist(), strict=True):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                ends = [z[-1] for z, n in ((x, nx), (y, ny)) if len(z) < n]
-                if ends:
-                    x, y = x[x <= min(ends)], y[y <= min(ends)]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                least = -(-percent * (nx + ny) // (100 + percent))
-                ok.append(len(x) - both <= nx - least and len(y) - both <= ny - least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    x = sets.select(F.col("node").alias("a"), F.col("zone").alias("x"), F.col("n").alias("nx"))
-    y = sets.select(F.col("node").alias("b"), F.col("zone").alias("y"), F.col("n").alias("ny"))
-    return stored(pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long").distinct(), "screened")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets link, by their whole sets; texts are read again, of the documents in pairs only."""
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    wanted = owner.join(nodes, "node", "left_semi") if nodes.count() > BROADCAST_ROWS else owner.join(F.broadcast(nodes), "node", "left_semi")
-    wanted = stored(wanted, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), width)
-            keep = [i for i, (s, d) in enumerate(zip(sets, b.column("digest"), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == d.as_py()]
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "tokens"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def stars(rows: DataFrame, key: list[str], centre: Column) -> DataFrame:
+    """(*key, node, hub): each row of ``rows`` (*key, node, ..) with the node of its key for which ``centre`` is largest."""
+    hubs = rows.groupBy(*key).agg(F.max(F.struct(centre, "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return rows.select(*key, "node").join(hubs.select(*key, F.col("hub.node").alias("hub")), key).where("node != hub")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id")
-    arrays = stored(rows.select("node", "digest", "text").mapInArrow(whole, "node long, tokens binary").dropDuplicates(["node"]), "whole-sets")
-    x, y = arrays.select(F.col("node").alias("a"), F.col("tokens").alias("x")), arrays.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after the components of ``links`` (a, b) have been joined."""
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = stored(components(ends).toDF("component", "to"), "merged")
+    out = stored(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    release(labels, merged)
+    return out
+
+
+def candidates(balls: DataFrame, percent: int) -> DataFrame:
+    """What of ``balls`` (ball, node, component, n, own, d) can link with a node of the same ball and another component.
+
+    The sets x and y of a ball are given as what they differ in from one centre, own tokens apart: x and y differ in
+    own_x + own_y + |d_x ^ d_y| tokens. What of d_x is in no d_y of another component is added to own_x. If s_x of d_x is
+    left, |d_x ^ d_y| >= |s_x - s_y|, so a link needs f_x + f_y + (1 + t) |s_x - s_y| <= 0 with f = (1 + t) own - (1 - t) n.
+    For each size s a ball's least f of two components tells each x whether such a y can be. All that can't goes, which
+    takes sharers away from others, and so on, as long as a tenth of the rows goes. ``least`` is the number of tokens that x
+    must have in common with any such y.
+    """
+    each = 100 + percent
+    rows, n = balls, balls.count()
+    while True:
+        cells = rows.select("ball", "node", "component", F.explode("d").alias("e"))
+        useful = cells.groupBy("ball", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi")
+        kept = cells.join(useful, ["ball", "e"]).groupBy("ball", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("d"))
+        kept = rows.select("ball", "node", "component", "n", (F.col("own") + F.size("d")).alias("own")).join(kept, ["ball", "node"], "left")
+        s = F.coalesce(F.size("d"), F.lit(0))
+        kept = kept.withColumns({"s": s, "own": F.col("own") - s, "f": each * (F.col("own") - s) - (100 - percent) * F.col("n")})
+        kept = stored(kept.withColumn("d", F.coalesce("d", F.array().cast("array<struct<c:long,e:long>>"))), "kept")
+        of = kept.groupBy("ball", "s", "component").agg(F.min("f").alias("f"))
+        best = of.groupBy("ball", "s").agg(F.min(F.struct("f", "component")).alias("x"))
+        other = of.join(best, ["ball", "s"]).where("component != x.component").groupBy("ball", "s").agg(F.min("f").alias("g"))
+        sizes = best.join(other, ["ball", "s"], "left").groupBy("ball").agg(F.collect_list(F.struct("s", "x.f", "x.component", "g")).alias("sizes"))
+        mates = F.expr(f"""transform(filter(transform(sizes, z -> struct(z.s AS s, if(z.component = component, z.g, z.f) AS f)),
+                           z -> z.f IS NOT NULL AND f + z.f + {each} * abs(s - z.s) <= 0), z -> f + z.f + {each} * (s + z.s))""")
+        met = salted_join(kept, sizes, ["ball"], "node").withColumn("mates", mates).where("size(mates) > 0")
+        least = F.greatest(F.lit(1), F.ceil(F.array_min("mates") / F.lit(2.0 * each)).cast("int"))
+        out = stored(met.select("ball", "node", "component", "n", "own", F.transform("d", lambda z: z["e"]).alias("d"), least.alias("least")), "candidates")
+        release(kept, *([rows] if rows is not balls else []))
+        left = out.count()
+        if left > 0.9 * n or not left:
+            return out
+        rows, n = out, left
+
+
+def settled(labels: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
+    """``labels`` with all links between nodes of one ball, by turns until no ball has nodes of two components that can link.
+
+    In a turn each ball's ``candidates`` form groups by the rarest of the tokens in which they differ from the centre, as
+    many as any two that link must share one of. A group's node nearest to the centre becomes the centre of a new ball of
+    the group; links with it are found on the way. A ball loses its centre each time, so this ends; no pair is left out.
+    """
+    while True:
+        rows = candidates(balls, percent)
+        release(balls)
+        if rows.isEmpty():
+            release(rows)
+            return labels
+        tokens = rows.withColumn("e", F.explode(F.slice("d", 1, F.size("d") - F.col("least") + 1)))
+        mixed = tokens.groupBy("ball", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("ball", "e")
+        tokens = tokens.join(mixed, ["ball", "e"], "left_semi")
+        pairs = stored(stars(tokens, ["ball", "e"], -(F.col("own") + F.size("d"))).select("ball", "node", "hub").distinct(), "stars")
+        hub = rows.select("ball", F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("component", "n", "own", "d")])
+        both = salted_join(pairs.join(rows.drop("least"), ["ball", "node"]), hub, ["ball", "hub"], "node")
+        differ = F.array_union(F.array_except("d", "hub_d"), F.array_except("hub_d", "d"))
+        both = both.withColumn("d", differ).withColumn("ball", F.concat_ws("/", "ball", "hub"))
+        links = linked(F.col("own") + F.col("hub_own") + F.size("d"), "n", "hub_n", percent) & (F.col("component") != F.col("hub_component"))
+        met = stored(both.select("ball", "node", "n", "own", "d", "hub", links.alias("links")), "met")
+        labels = joined(labels, met.where("links").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        balls = opened(met.select("ball", "node", "n", "own", "d"), labels)
+        release(rows, pairs, met)
+
+
+def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The balls of ``rows`` whose nodes are of two components or more, with the components."""
+    at = rows.select("ball", "node").join(labels, "node")
+    mixed = at.groupBy("ball").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("ball")
+    return stored(rows.join(mixed, "ball", "left_semi").join(labels, "node"), "balls")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Two documents link when 100 times the size of the intersection of their sets of ``width``-word shingles is at least
-    ``percent`` times that of the union. Words are runs of other characters than blank and \\t to \\r, A-Z lower-cased;
-    a text of fewer words is one shingle. component_id is the smallest doc_id that links lead to. Texts that are null,
-    empty or blank have no shingles and link with nothing. Documents with equal sets form one node, named by its
-    smallest id. Rows without an id take no part: their component is null. Rows that repeat an id are each linked by
-    their own text.
+    ``percent`` (80 to 99) times that of the union. Words are runs of other characters than blank and \\t to \\r, A-Z
+    lower-cased; a text of fewer words is one shingle. component_id is the smallest doc_id that links lead to. Texts that
+    are null, empty or blank have no shingles and link with nothing: their component is their own id. Rows without an id
+    take no part: their component is null. Rows that repeat an id are each linked by their own text. An empty table gives
+    an empty result; other columns are not read, and texts are never cut.
+
+    Rows with equal sets are one node. Nodes of which more tokens than a link allows are in no other set end here. The
+    others are indexed by ``signatures``. Nodes of one signature are compared with the most central of them, exactly,
+    and form a ball around it; what is still open inside a ball is left to ``settled``. So a group of n copies gives some
+    n pairs, not n squared.
     """
-    sets = stored(sets_of(docs, width, percent), "sets")
-    filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes")
-    owner = nodes.select("digest", "node", F.col("node").alias("doc_id"))
-    # Copies aren't read again: their ids, unless they name a node too, are left out.
-    copies = filled.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_anti").select("doc_id")
-    copies = stored(copies.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct(), "copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    reps = filled.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "zone")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
-    pairs, groups = candidate_pairs(reps, texts, width, percent)
-    links = stored(verified(screened(pairs, reps, percent), docs, owner, width, percent), "links")
-    labels = stored(components(links), "labels")
-
-    # Combinations whose sets fell into more than one component get other hubs, and at last all pairs between components.
-    rows, tried = groups, pairs
-    for turn in range(HUBS):
-        at = rows.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_ = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-        rows = stored(salted_join(at, open_, ["sig"], "node", "left_semi"), "open")
-        if rows.isEmpty():
-            break
-        if turn < HUBS - 1:
-            more = star(rows, percent)
-        else:
-            x, y = rows.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), rows.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            more = x.join(y, "sig").where(F.expr("a < b AND ca != cb") & fits("na", "nb", percent)).select("a", "b").distinct()
-        more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        rows = rows.select("sig", "node", "n")
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        links = stored(links.union(verified(screened(more, reps, percent), docs, owner, width, percent)), "links")
-        labels = stored(components(links), "labels")
-    known = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", "n", "digest").join(known, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    if not 80 <= percent < 100:
+        raise ValueError("percent must be from 80 to 99")
+    spark = docs.sparkSession
+    texts = counted_texts(docs, width)
+    swept(spark)
+    nodes = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("own").alias("own"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    alive = nodes.where(f"100 * own <= {100 - percent} * n AND n > 1")
+    sets = sets_of(docs, alive, width)
+    index = indexed(sets, percent)
+    release(sets)
+    swept(spark)
+
+    labels = stored(index.select("node", F.col("node").alias("component")).distinct(), "labels")
+    members = index.select("node", "central", F.explode("sigs").alias("sig"))
+    pairs = stored(stars(members, ["sig"], F.col("central")).select("node", "hub").distinct(), "pairs")
+    one = index.select("node", "n", "own", "shared")
+    if index.count() > labels.count():  # a text that repeats with its id has been read more than once
+        one = one.dropDuplicates(["node"])
+    hub = one.select(*[F.col(c).alias(x) for c, x in (("node", "hub"), ("n", "hub_n"), ("own", "hub_own"), ("shared", "hub_shared"))])
+    both = pairs.join(one, "node").join(hub, "hub")
+    fits = (100 * F.col("n") >= percent * F.col("hub_n")) & (100 * F.col("hub_n") >= percent * F.col("n"))
+    differ = F.col("n") + F.col("hub_n") - 2 * F.size(F.array_intersect("shared", "hub_shared"))
+    found = stored(both.where(fits).where(linked(differ, "n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+    labels = joined(labels, found)
+    open_ = opened(pairs.select(F.col("hub").cast("string").alias("ball"), "node"), labels)
+    spread = open_.join(one, "node").withColumn("hub", F.col("ball").cast("long")).join(hub.select("hub", "hub_shared"), "hub")
+    spread = spread.select("ball", "node", "component", "n", "own", F.array_union(F.array_except("shared", "hub_shared"), F.array_except("hub_shared", "shared")).alias("d"))
+    labels = settled(labels, stored(spread, "balls"), percent)
+
+    at = nodes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = stored(at.join(least, "component").select("digest", "component_id"), "known")
+    release(nodes, index, labels, pairs, found, open_)
+    swept(spark)
+    out = texts.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(known, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from kontrast.llm.jaccard_join import link
+from kontrast.llm import jaccard_join
+from kontrast.llm.jaccard_join import link, pack, shingle_sets, unpack
 
 
 def brute(rows, width=4, percent=85):
@@ -62,3 +64,67 @@ def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     copies = df.withColumn("doc_id", F.col("doc_id") + 100000).withColumn("text", F.concat("text", F.lit(" more words"))).where("doc_id % 10 = 0")
     compare(df.select("doc_id", "text").union(copies.select("doc_id", "text")))
+
+
+def by_matrix(rows, width=4, percent=85):
+    """Components from the products of all pairs of sets, as a matrix."""
+    sets = shingle_sets([t for _, t in rows], width)
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    x = np.zeros((len(sets), len(tokens)), np.float32)
+    x[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+    n = x.sum(1)
+    both = x @ x.T
+    links = 100 * both >= percent * (n[:, None] + n[None] - both)
+    least = np.arange(len(sets))
+    while True:
+        new = np.where(links, least[None], len(sets)).min(1)
+        if (new == least).all():
+            return {i: (len(s), rows[k][0]) for (i, _), s, k in zip(rows, sets, least, strict=True)}
+        least = new
+
+
+def test_many_near_copies_around_the_threshold(spark, monkeypatch):
+    """3,000 copies of one text with one to six words changed, some alike: most pairs fail by little."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 4, 5, 6])):
+            t[rng.randrange(120)] = rng.choice(["x", "y", f"own{i}"])
+        rows.append((i, " ".join(t)))
+    want = by_matrix(rows)
+    assert 20 < len({c for _, c in want.values()}) < 2500
+    made = []
+    real = jaccard_join.stars
+    monkeypatch.setattr(jaccard_join, "stars", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 5000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "release", lambda *a: None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in link(df).collect()} == want
+    pairs = sum(x.select(x.columns[-2:]).distinct().count() for x in made)
+    assert pairs < 40 * len(rows), pairs
+
+
+def test_rows_of_one_id(spark):
+    """Each row goes by its own text; texts of one id are linked by nothing else."""
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, t), (1, u), (2, t + " z"), (3, u + " z"), (3, u + " z"), (4, None), (4, "c")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in link(df).collect())
+    assert got == [(1, 37, 1), (1, 37, 1), (2, 38, 1), (3, 38, 1), (3, 38, 1), (4, 0, 4), (4, 1, 4)]
+
+
+def test_very_long_texts(spark):
+    long = [f"v{i}" for i in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[: 260_000])), (3, " ".join(long[:200_000])), (4, " ".join(reversed(long)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (299_997, 1), 2: (259_997, 1), 3: (199_997, 3), 4: (299_997, 4)}
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 1000):
+        t = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        v = rng.integers(0, 2**16, len(t)).astype(np.uint16)
+        a, b = unpack(pack(t, v))
+        assert (a == t).all() and (b == v).all()

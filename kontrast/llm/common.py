@@ -140,10 +140,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): the smallest node that each can reach.
+    """(node, component) for the nodes of the stored table ``edges`` (a, b), a and b distinct: the smallest node that each
+    can reach.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join, until neither changes the edges;
-    edges and labels stay in stored tables.
+    Alternating large-star and small-star steps, each a grouped minimum and a join, until the edges are stars around
+    smallest nodes; edges and labels stay in stored tables.
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
@@ -156,20 +157,19 @@ def components(edges: DataFrame) -> DataFrame:
             out = both.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return stored(out.where("a != b").distinct(), "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        return r["n"], r["h"]
+    def ended(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
-    e = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
-    before = None
-    while (now := mark(e)) != before:
-        before = now
+    e = edges
+    while True:
         middle = step(e, True)
         after = step(middle, False)
-        release(e, middle)
+        release(middle, *([e] if e is not edges else []))
         e = after
-    pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return pairs.union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        if ended(e):
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
 
 
 def hashed_share(df: DataFrame, col: str, n: int, want: int):

@@ -307,21 +307,19 @@ def linked(both: Column | str, x: str, y: str, percent: int) -> Column:
     return (100 + percent) * both <= (100 - percent) * (F.col(x) + F.col(y))
 
 
-def stars(rows: DataFrame, key: list[str], centre: Column) -> DataFrame:
-    """(*key, node, hub): each row of ``rows`` (*key, node, ..) with the node of its key for which ``centre`` is largest."""
-    hubs = rows.groupBy(*key).agg(F.max(F.struct(centre, "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+def stars(rows: DataFrame, key: list[str], centre: Column, apart: str = "node") -> DataFrame:
+    """(*key, node, hub): each row of ``rows`` (*key, node, ..) with the node of its key for which ``centre`` is largest,
+    for the keys whose rows differ in the column ``apart``."""
+    hubs = rows.groupBy(*key).agg(F.max(F.struct(centre, "node")).alias("hub"), F.min(apart).alias("lo"), F.max(apart).alias("hi")).where("lo != hi")
     return rows.select(*key, "node").join(hubs.select(*key, F.col("hub.node").alias("hub")), key).where("node != hub")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, component) after the components of ``links`` (a, b) have been joined."""
+    """``labels`` (node, component) after the components of the stored table ``links`` (component a, component b) were joined."""
     if links.isEmpty():
         return labels
-    ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = stored(components(ends).toDF("component", "to"), "merged")
-    out = stored(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-    release(labels, merged)
-    return out
+    merged = components(links).toDF("component", "to")
+    return stored(labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def candidates(balls: DataFrame, percent: int) -> DataFrame:
@@ -331,19 +329,18 @@ def candidates(balls: DataFrame, percent: int) -> DataFrame:
     own_x + own_y + |d_x ^ d_y| tokens. What of d_x is in no d_y of another component is added to own_x. If s_x of d_x is
     left, |d_x ^ d_y| >= |s_x - s_y|, so a link needs f_x + f_y + (1 + t) |s_x - s_y| <= 0 with f = (1 + t) own - (1 - t) n.
     For each size s a ball's least f of two components tells each x whether such a y can be. All that can't goes, which
-    takes sharers away from others, and so on, as long as a tenth of the rows goes. ``least`` is the number of tokens that x
+    takes sharers away from others, and so on, as long as half of the rows go. ``least`` is the number of tokens that x
     must have in common with any such y.
     """
     each = 100 + percent
     rows, n = balls, balls.count()
-    while True:
-        cells = rows.select("ball", "node", "component", F.explode("d").alias("e"))
-        useful = cells.groupBy("ball", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi")
-        kept = cells.join(useful, ["ball", "e"]).groupBy("ball", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("d"))
-        kept = rows.select("ball", "node", "component", "n", (F.col("own") + F.size("d")).alias("own")).join(kept, ["ball", "node"], "left")
-        s = F.coalesce(F.size("d"), F.lit(0))
-        kept = kept.withColumns({"s": s, "own": F.col("own") - s, "f": each * (F.col("own") - s) - (100 - percent) * F.col("n")})
-        kept = stored(kept.withColumn("d", F.coalesce("d", F.array().cast("array<struct<c:long,e:long>>"))), "kept")
+    while True:  # a text that repeats with its id has been read more than once: its rows are one from here on
+        cells = rows.select("ball", "node", "component", "n", (F.col("own") + F.size("d")).alias("own"), F.explode_outer("d").alias("e"))
+        useful = cells.groupBy("ball", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select("ball", "e", "c")
+        first = [F.first(c).alias(c) for c in ("component", "n", "own")]
+        kept = cells.join(useful, ["ball", "e"], "left").groupBy("ball", "node").agg(*first, F.sort_array(F.collect_set(F.when(F.col("c").isNotNull(), F.struct("c", "e")))).alias("d"))
+        kept = kept.withColumns({"s": F.size("d"), "own": F.col("own") - F.size("d")})
+        kept = stored(kept.withColumn("f", each * F.col("own") - (100 - percent) * F.col("n")), "kept")
         of = kept.groupBy("ball", "s", "component").agg(F.min("f").alias("f"))
         best = of.groupBy("ball", "s").agg(F.min(F.struct("f", "component")).alias("x"))
         other = of.join(best, ["ball", "s"]).where("component != x.component").groupBy("ball", "s").agg(F.min("f").alias("g"))
@@ -355,7 +352,7 @@ def candidates(balls: DataFrame, percent: int) -> DataFrame:
         out = stored(met.select("ball", "node", "component", "n", "own", F.transform("d", lambda z: z["e"]).alias("d"), least.alias("least")), "candidates")
         release(kept, *([rows] if rows is not balls else []))
         left = out.count()
-        if left > 0.9 * n or not left:
+        if left > 0.5 * n or not left:
             return out
         rows, n = out, left
 
@@ -374,25 +371,24 @@ def settled(labels: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
             release(rows)
             return labels
         tokens = rows.withColumn("e", F.explode(F.slice("d", 1, F.size("d") - F.col("least") + 1)))
-        mixed = tokens.groupBy("ball", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("ball", "e")
-        tokens = tokens.join(mixed, ["ball", "e"], "left_semi")
-        pairs = stored(stars(tokens, ["ball", "e"], -(F.col("own") + F.size("d"))).select("ball", "node", "hub").distinct(), "stars")
+        pairs = stars(tokens, ["ball", "e"], -(F.col("own") + F.size("d")), "component").select("ball", "node", "hub").distinct()
         hub = rows.select("ball", F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("component", "n", "own", "d")])
         both = salted_join(pairs.join(rows.drop("least"), ["ball", "node"]), hub, ["ball", "hub"], "node")
         differ = F.array_union(F.array_except("d", "hub_d"), F.array_except("hub_d", "d"))
         both = both.withColumn("d", differ).withColumn("ball", F.concat_ws("/", "ball", "hub"))
         links = linked(F.col("own") + F.col("hub_own") + F.size("d"), "n", "hub_n", percent) & (F.col("component") != F.col("hub_component"))
-        met = stored(both.select("ball", "node", "n", "own", "d", "hub", links.alias("links")), "met")
-        labels = joined(labels, met.where("links").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        met = stored(both.select("ball", "node", "n", "own", "d", "component", "hub_component", links.alias("links")), "met")
+        found = stored(met.where("links").select(F.col("component").alias("a"), F.col("hub_component").alias("b")).distinct(), "links")
+        labels = joined(labels, found)
         balls = opened(met.select("ball", "node", "n", "own", "d"), labels)
-        release(rows, pairs, met)
+        release(rows, met, found)
 
 
 def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The balls of ``rows`` whose nodes are of two components or more, with the components."""
-    at = rows.select("ball", "node").join(labels, "node")
+    at = rows.join(labels, "node")
     mixed = at.groupBy("ball").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("ball")
-    return stored(rows.join(mixed, "ball", "left_semi").join(labels, "node"), "balls")
+    return stored(at.join(mixed, "ball", "left_semi"), "balls")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -423,18 +419,15 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     release(sets)
     swept(spark)
 
-    labels = stored(index.select("node", F.col("node").alias("component")).distinct(), "labels")
     members = index.select("node", "central", F.explode("sigs").alias("sig"))
     pairs = stored(stars(members, ["sig"], F.col("central")).select("node", "hub").distinct(), "pairs")
     one = index.select("node", "n", "own", "shared")
-    if index.count() > labels.count():  # a text that repeats with its id has been read more than once
-        one = one.dropDuplicates(["node"])
     hub = one.select(*[F.col(c).alias(x) for c, x in (("node", "hub"), ("n", "hub_n"), ("own", "hub_own"), ("shared", "hub_shared"))])
     both = pairs.join(one, "node").join(hub, "hub")
     fits = (100 * F.col("n") >= percent * F.col("hub_n")) & (100 * F.col("hub_n") >= percent * F.col("n"))
     differ = F.col("n") + F.col("hub_n") - 2 * F.size(F.array_intersect("shared", "hub_shared"))
     found = stored(both.where(fits).where(linked(differ, "n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
-    labels = joined(labels, found)
+    labels = joined(alive.select("node", F.col("node").alias("component")), found)
     open_ = opened(pairs.select(F.col("hub").cast("string").alias("ball"), "node"), labels)
     spread = open_.join(one, "node").withColumn("hub", F.col("ball").cast("long")).join(hub.select("hub", "hub_shared"), "hub")
     spread = spread.select("ball", "node", "component", "n", "own", F.array_union(F.array_except("shared", "hub_shared"), F.array_except("hub_shared", "shared")).alias("d"))
@@ -443,7 +436,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     at = nodes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
     least = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = stored(at.join(least, "component").select("digest", "component_id"), "known")
-    release(nodes, index, labels, pairs, found, open_)
+    release(nodes, index, pairs, found, open_)
     swept(spark)
     out = texts.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(known, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, read, stored, text_or_empty
+from .common import mix, read, release, stored, text_or_empty
 
 MIN_CHARS = 16
 SALTS = 8
@@ -32,16 +32,20 @@ def deletion_hashes(line: str) -> tuple[np.uint64, np.ndarray]:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(row, doc_id, no, line, id) for each line of at least ``min_chars`` code points."""
+    """(spot, line, id) for each line of at least ``min_chars`` code points; spots (last, doc_id, row, no) are ordered."""
     text = text_or_empty()
-    rows = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    return rows.where(F.char_length("line") >= min_chars).withColumn("id", F.unhex(F.md5(F.col("line").cast("binary"))))
+    rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    rows = rows.where(F.char_length("line") >= min_chars)
+    return rows.select(F.struct("last", "doc_id", "row", "no").alias("spot"), "line", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+SPOT = "struct<last:boolean,doc_id:bigint,row:bigint,no:int>"
+
+
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id): the distinct lines for which some line within one edit stands earlier.
 
@@ -61,40 +65,48 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     # places from `low` on and places before `high` can hold the edit
     alive = stored(met.groupBy("id", "first").agg(F.coalesce(F.min(F.when(F.col("head"), F.col("cut"))), F.lit(2**31 - 1)).alias("low"), F.coalesce(F.max(F.when(~F.col("head"), F.col("cut"))), F.lit(0)).alias("high")), "lines-alive")
     n_alive = alive.count()
+    # the text of a line is taken where it stands first
     firsts = alive.select(F.col("first.row").alias("row"), F.col("first.no").alias("no"), "id", "low", "high")
-    texts = stored(lines.select("row", "doc_id", "no", "line", "id").join(small(firsts, n_alive), ["row", "no", "id"]).distinct(), "lines-alive-text")
+    texts = lines.select("spot", F.col("spot.row").alias("row"), F.col("spot.no").alias("no"), "line", "id").join(small(firsts, n_alive), ["row", "no", "id"])
+    texts = stored(texts.drop("row", "no").distinct(), "lines-alive-text")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, no, line, low, high in zip(b["doc_id"], b["no"], b["line"], b["low"], b["high"], strict=True):
+            for last, doc, row, no, line, low, high in zip(b["last"], b["doc_id"], b["row"], b["no"], b["line"], b["low"], b["high"], strict=True):
                 own, keys = deletion_hashes(line)
                 at = np.arange(len(keys))
                 at = at[(at >= low) | (at < high)]
-                yield pd.DataFrame({"key": np.append(own, keys[at]).view(np.int64), "place": np.append(-1, at).astype(np.int32), "doc_id": doc, "no": np.int32(no)})
+                out = pd.DataFrame({"key": np.append(own, keys[at]).view(np.int64), "place": np.append(-1, at).astype(np.int32), "last": last, "row": row, "no": np.int32(no)})
+                yield out.assign(doc_id=pd.array([doc] * len(out), dtype="Int64"))
 
-    variants = texts.select("doc_id", "no", "line", "low", "high").mapInPandas(emit, "key long, place int, doc_id long, no int")
-    order = F.struct("doc_id", "no")
+    # a missing id would turn a batch's ids into floats
+    flat = texts.select("spot.last", F.coalesce("spot.doc_id", F.lit(0)).alias("doc_id"), "spot.row", "spot.no", "line", "low", "high")
+    variants = flat.mapInPandas(emit, "key long, place int, last boolean, doc_id long, row long, no int")
+    variants = variants.select("key", "place", F.struct("last", F.when(~F.col("last"), F.col("doc_id")).alias("doc_id"), "row", "no").cast(SPOT).alias("own"))
     same = Window.partitionBy("key", "place")
     hash_ = Window.partitionBy("key")
-    deeper = F.min(F.when(F.col("place") < 0, order)).over(hash_)
-    anyone = F.min(order).over(hash_)
-    variants = variants.repartition("key").select("key", "place", order.alias("own"), F.min(order).over(same).alias("a"), deeper.alias("b"), F.when(F.col("place") < 0, anyone).alias("c"))
+    deeper = F.min(F.when(F.col("place") < 0, F.col("own"))).over(hash_)
+    anyone = F.min("own").over(hash_)
+    variants = variants.repartition("key").select("key", "place", "own", F.min("own").over(same).alias("a"), deeper.alias("b"), F.when(F.col("place") < 0, anyone).alias("c"))
     pairs = variants.select("own", F.explode(F.array("a", "b", "c")).alias("early")).where("early < own").distinct()
-    texts = texts.select(order.alias("at"), "line", "id")
-    left = texts.select(F.col("at").alias("own"), "line", "id")
-    right = texts.select(F.col("at").alias("early"), F.col("line").alias("early_line"))
-    checked = pairs.join(left, "own").join(right, "early").where(F.levenshtein("line", "early_line", 1) >= 0)
-    return checked.select("id").distinct()
+    # spots are joined by row and number, since a field of theirs can be null
+    pairs = pairs.select("own.row", "own.no", F.col("early.row").alias("early_row"), F.col("early.no").alias("early_no"))
+    left = texts.select("spot.row", "spot.no", "line", "id")
+    right = texts.select(F.col("spot.row").alias("early_row"), F.col("spot.no").alias("early_no"), F.col("line").alias("early_line"))
+    checked = pairs.join(left, ["row", "no"]).join(right, ["early_row", "early_no"]).where(F.levenshtein("line", "early_line", 1) >= 0)
+    near = stored(checked.select("id").distinct(), "lines-near")
+    release(alive, texts)
+    return near
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for each row, and its columns ``keep``: without lines that repeat an earlier line within one edit.
 
-    Lines end at \\n and are ordered by doc_id and line number. A line of at least ``min_chars`` code points goes if an
-    equal line stands earlier, or if its text's first occurrence has a line within edit distance 1 earlier still;
-    shorter lines always stay. Null texts stay null and have no lines; an empty text has one empty line. Rows without
-    an id take no part and stay as they are. Ids are taken as distinct: rows that repeat both id and text keep the same
-    lines, rows that repeat only the id are ordered by a hash of their text. Other columns are not read.
+    Lines end at \\n and are ordered by doc_id, a hash of id and text, and line number; rows without an id come last. A
+    line of at least ``min_chars`` code points goes if an equal line stands earlier, or if its text's first occurrence has
+    a line within edit distance 1 earlier still; shorter lines always stay. Null texts stay null and have no lines; an
+    empty text has one empty line. Rows that repeat both id and text keep the same lines; rows that repeat only the id are
+    judged each. An empty table gives an empty result; texts are never cut, and other columns are not read.
     """
     lines = lines_of(docs, min_chars)
     n = F.char_length("line")
@@ -104,20 +116,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: tuple
     )
     cuts = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
     halves = F.array_distinct(F.array(*[half(head, h) for head in (True, False) for h in cuts]))
-    first = F.min(F.struct("doc_id", "row", "no")).alias("first")
-    seen = lines.select("id", "doc_id", "row", "no", halves.alias("halves")).groupBy("id").agg(first, F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n"))
+    seen = lines.select("id", "spot", halves.alias("halves")).groupBy("id").agg(F.min("spot").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n"))
     distinct = stored(seen, "lines")
-    near = near_lines(lines, distinct).withColumn("near", F.lit(True))
-    gone = distinct.select("id", "first", "n").join(near, "id", "left").where("n > 1 OR near")
+    near = near_lines(lines, distinct)
+    gone = distinct.select("id", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").where("n > 1 OR near")
     # a line can have very many occurrences: they are dealt over SALTS keys
-    gone = gone.select("id", "first", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spots = lines.select("id", "row", "doc_id", "no", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(gone, ["id", "salt"])
-    spots = spots.where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "no") != F.col("first")))
-    drops = spots.groupBy("row").agg(F.collect_set("no").alias("drops"))
+    gone = gone.select("id", F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no"), "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spots = lines.select("id", "spot.row", "spot.no", F.pmod("spot.row", F.lit(SALTS)).cast("int").alias("salt")).join(gone, ["id", "salt"])
+    spots = spots.where(F.coalesce("near", F.lit(False)) | (F.col("row") != F.col("first_row")) | (F.col("no") != F.col("first_no")))
+    drops = stored(spots.groupBy("row").agg(F.collect_set("no").alias("drops")), "line-drops")
+    release(distinct, near)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce(text, F.lit("")))).alias("row"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", F.coalesce(text, F.lit(""))).alias("row"), *keep)
     parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drops", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
+    # within a transform over one element, the text is split once and not for each line
+    joined = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n"))
+    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(joined[0])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     return rows.join(drops, "row", "left").select("doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), *keep)
 

@@ -14,17 +14,17 @@ def within_one(a, b):
 
 def brute(rows, least=16):
     first, lines = {}, []
-    for i, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
+    for at, (i, t) in enumerate(sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0))):
         for k, x in enumerate(t.split("\n")):
             if len(x) >= least:
-                first.setdefault(x, (i, k))
+                first.setdefault(x, (at, i, k))
     near = {x for x, f in first.items() if any(g < f and within_one(x, y) for y, g in first.items())}
     out = []
     for i, t in rows:
-        if i is None or t is None:
-            out.append((i, t, 0 if t is None else t.count("\n") + 1, 0))
+        if t is None:
+            out.append((i, t, 0, 0))
             continue
-        kept = [x for k, x in enumerate(t.split("\n")) if len(x) < least or (first[x] == (i, k) and x not in near)]
+        kept = [x for k, x in enumerate(t.split("\n")) if len(x) < least or (first[x][1:] == (i, k) and x not in near)]
         out.append((i, "\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept)))
     return sorted(out, key=str)
 
@@ -58,3 +58,11 @@ def test_random_edits_and_edges(spark):
     twice = drop_repeated_lines(df.where("doc_id < 5").union(df.where("doc_id < 5"))).collect()
     assert len(twice) == 10 and len({tuple(r) for r in twice}) == 5
     assert drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    """Rows that repeat only the id are judged each: of two near lines one goes, whatever the ids."""
+    a, b = "abcdefghijklmnopqrst", "abcdefghijklmnopqrsX"
+    for ids in ((1, 1), (1, 2), (None, None), (None, 1)):
+        df = spark.createDataFrame([(ids[0], a), (ids[1], b)], "doc_id long, text string")
+        assert sorted(r.n_dropped for r in drop_repeated_lines(df).collect()) == [0, 1], ids

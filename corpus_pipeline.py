@@ -41,7 +41,7 @@ def row_key() -> Column:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Null and empty texts stay; rows that repeat id and text fare alike."""
+    """Documents that the classifier rejects go. Null and empty texts have weight 1; rows that repeat id and text fare alike."""
     return classify(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 

@@ -17,9 +17,12 @@ from .common import hash_words, hashed_share, mix, read, stored, text_or_empty
 BITS = 20
 BLOCK = 1 << 14
 LABELLED = 50_000
+#: Standard deviations between a class and all text at which a feature's log ratio counts by half.
 EVIDENCE = 3.5
 SMOOTHING = 2e3
-TEMPERATURE = 0.02
+TEMPERATURE = 1.0
+#: Tasks, or sums of tasks, that are added up at a time.
+FAN = 64
 #: Classes of labelled rows: accepted (the target), low quality, toxic.
 CLASSES = 3
 
@@ -71,9 +74,9 @@ class Model:
         ratios = []
         for counts in by_class:
             expected = counts.sum() * base
-            clear = np.abs(counts - expected) > EVIDENCE * np.sqrt(expected + 1)
+            clear = (np.abs(counts - expected) / np.sqrt(expected + 1)) ** 4
             r = np.log((counts + SMOOTHING * base) / (counts.sum() + SMOOTHING)) - np.log(base)
-            ratios.append(np.where(clear, r, 0.0))
+            ratios.append(r * clear / (clear + EVIDENCE**4))
         self.ratios = np.array(ratios, np.float32)
         self.prior = np.log((n_docs + 1) / (n_docs.sum() + len(n_docs)))
 
@@ -113,12 +116,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
         total = np.zeros(BLOCK, np.int64)
         for blob in g["counts"]:
             total += np.frombuffer(blob, "<i4" if len(blob) == 4 * BLOCK else "<i8")
-        return pd.DataFrame({"kind": [g["kind"].iloc[0]], "block": [g["block"].iloc[0]], "n": [g["n"].sum()], "counts": [total.astype("<i8").tobytes()]})
+        return pd.DataFrame({"kind": [g["kind"].iloc[0]], "block": [g["block"].iloc[0]], "n": [g["n"].sum()], "counts": [total.astype("<i8").tobytes()], "part": [g["part"].iloc[0]]})
 
     cells = "kind int, block int, n long, counts binary"
-    # some tasks' counts are added up at a time, so no task gathers those of all
-    parts = rows.mapInArrow(count, cells).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    sums = parts.groupBy("kind", "block", "part").applyInPandas(add, cells).groupBy("kind", "block").applyInPandas(add, cells)
+    # FAN tasks' counts are added up at a time, then FAN of these sums, so no task gathers those of all
+    sums = rows.mapInArrow(count, cells).withColumn("part", F.spark_partition_id())
+    for _ in range(2):
+        sums = sums.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("kind", "block", "part").applyInPandas(add, f"{cells}, part int")
+    sums = sums.groupBy("kind", "block").applyInPandas(add, f"{cells}, part int")
     found, n = np.zeros((CLASSES + 1, 1 << BITS)), np.zeros(CLASSES + 1)
     for r in sums.collect():  # (CLASSES + 1) * 2**BITS counts, whatever the input
         found[r["kind"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
@@ -145,16 +150,18 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float:
             return sorted((r[0] for r in df.where(F.col(col).between(lo, hi)).select(col).collect()), reverse=True)[k - 1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE, k: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(log_weight, key, kept) for each row of ``docs``, after its columns ``keep``.
 
-    The target's model is that of accepted labelled text. The model of raw text is the mixture of those of accepted, low
-    and toxic text in their labelled shares, each smoothed by the counts over all documents; a feature counts only where
-    a class differs from all text by more than EVIDENCE standard deviations. The importance weight of a text is target
-    over raw, at most 1 / the target's share. ``key`` is its log plus Gumbel noise of the given temperature, drawn from
-    a hash of the id and text; the k largest keys stay, k being the number of texts that are rather target than not.
-    Ties at the edge stay. A null or empty text has no features: its weight is 1. Rows that repeat id and text get the
-    same result. Without usable labels every text has weight 1 and stays.
+    The target's model is that of accepted labelled text. The model of raw text is a mixture, of accepted, low and toxic
+    text in their labelled shares: raw documents are of one kind or another, so a single model of n-grams drawn one by one
+    would spread the junk of a few over all, and its weights would mostly tell the length of a text. Each model is smoothed
+    by the counts over all documents; the log ratio of a feature shrinks towards 0 where its class differs from all text by
+    few standard deviations. The importance weight of a text is target over raw, at most 1 / the target's share. ``key`` is
+    its log plus Gumbel noise of the given temperature, drawn from a hash of the id and text: at temperature 1 the ``k``
+    largest keys are a sample without replacement by weight. ``k`` is the number of texts that are rather target than not
+    unless given. Ties at the edge stay. A null or empty text has no features: its weight is 1. Rows that repeat id and text
+    get the same result. Without usable labels every text has weight 1 and stays.
     """
     model = fit(docs, labels, labelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -167,7 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, tempe
     rows = docs.select(*keep, log_share(text_or_empty()).alias("__share"), (-F.log(-F.log(unit)) * temperature).alias("__noise"))
     rows = rows.withColumn("log_weight", F.col("__share") - float(model.prior[0])).withColumn("key", F.col("log_weight") + F.col("__noise"))
     scored = stored(rows.drop("__noise"), "scored")
-    k = scored.where(F.col("__share") >= min(math.log(0.5), float(model.prior[0]))).count()
+    if k is None:
+        k = scored.where(F.col("__share") >= min(math.log(0.5), float(model.prior[0]))).count()
     edge = kth_largest(scored, "key", k) if k else math.inf
     return scored.select(*keep, "log_weight", "key", (F.col("key") >= edge).alias("kept"))
 

@@ -1,3 +1,8 @@
+import itertools
+import math
+import random
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,3 +49,58 @@ def test_edges(spark):
     assert len(out) == 6 and all(r.kept for r in out if r.doc_id in (1, 2))
     assert all(r.kept for r in classify(docs, labels.limit(0)).collect())
     assert classify(docs.limit(0), labels).count() == 0
+
+
+def plain_features(text):
+    """The features as tuples of strings, by loops of their own."""
+    out, before = set(), None
+    folded = []
+    for word in (text or "").split():
+        shape = ""
+        for letters, run in itertools.groupby(word, key=lambda c: "L" if c.isalpha() else "9" if c.isdigit() else c):
+            run = "".join(run)
+            shape += ("X" if len(run) > 1 and run.isupper() else "x") if letters == "L" else "9" if letters == "9" else run[:2]
+        low = word.lower().strip(".,")
+        folded.append((shape, before is not None and low == before))
+        out.add(("word", low))
+        out.add(("shape", *folded[-1]))
+        before = low
+    return out | {("two", a, b) for a, b in itertools.pairwise(folded)}
+
+
+def test_weights_by_plain_counts_and_sampling(spark):
+    """log_weight from dictionaries of features; at temperature 1 the k kept are a weighted sample."""
+    rng = random.Random(6)
+    pools = {0: "sun moon tree 12 river.".split(), 1: "BUY!!! now $$$ 99 NOW!!".split(), 2: "awful rotten nasty sun moon".split()}
+    rows, labels = [], []
+    for i in range(300):
+        c = rng.choice([0, 0, 0, 1, 2])
+        rows.append((i, " ".join(rng.choice(pools[c] + pools[0]) for _ in range(rng.randrange(1, 40)))))
+        if i % 2:
+            labels.append((i, 0 if c == 1 else 1, int(c == 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    kind = {i: 2 if t else 1 - q for i, q, t in labels}
+    every, by = Counter(), [Counter(), Counter(), Counter()]
+    for i, t in rows:
+        f = plain_features(t)
+        every.update(f)
+        if i in kind:
+            by[kind[i]].update(f)
+    size, all_ = 1 << quality.BITS, sum(every.values())
+    n = [sum(k == c for k in kind.values()) for c in range(3)]
+
+    def log_ratio(c, f):
+        base, total = (every[f] + 0.5) / (all_ + 0.5 * size), sum(by[c].values())
+        z = abs(by[c][f] - total * base) / math.sqrt(total * base + 1)
+        return math.log((by[c][f] + 2000 * base) / (total + 2000) / base) * z**4 / (z**4 + 3.5**4)
+
+    for i, t in rows:
+        s = [math.log((n[c] + 1) / (sum(n) + 3)) + sum(log_ratio(c, f) for f in plain_features(t)) for c in range(3)]
+        raw = math.log(sum(math.exp(x - max(s)) for x in s)) + max(s)
+        assert abs(s[0] - raw - math.log((n[0] + 1) / (sum(n) + 3)) - out[i].log_weight) < 1e-3, i
+    assert sum(r.kept for r in classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=40).collect()) == 40
+    # texts of equal weight: each is as likely as any other to be among the k
+    same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("sun").alias("text"))
+    kept = {r.doc_id for r in classify(same, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=1000).where("kept").collect()}
+    assert len(kept) == 1000 and 420 < sum(i < 2000 for i in kept) < 580

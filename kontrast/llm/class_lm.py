@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored, text_or_empty, word_hashes
+from .common import read, release, slices, stored, swept, text_or_empty, word_hashes
 
 #: The commonest words, whose classes are exchanged one by one and start those of all others.
 TOP = 1024
@@ -32,8 +31,9 @@ MOVES = np.uint8(128)
 PARTS = "bucket int, chunk long, what string, a binary, b binary, c binary"
 
 
-def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts as word numbers within chunks: (chunk, doc_id, held_out, tokens) and (chunk, hashes, n).
+def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts as word numbers within chunks: (chunk, doc_id, held_out, tokens) and (chunk, hashes, n), and the stored table
+    of both.
 
     A chunk is what one task reads, up to about CHUNK_WORDS words; its words are numbered by hash, n counts each in the
     chunk's training texts. The token list of a text ends with END.
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", "text", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), F.coalesce(rest != 2, F.lit(False)).alias("trains"))
     # Written once: a chunk's number means nothing beyond this table.
     both = stored(rows.mapInArrow(run, "chunk long, doc_id long, held_out boolean, tokens binary, n binary"), "encoded")
-    return both.where("n IS NULL").drop("n"), both.where("n IS NOT NULL").select("chunk", F.col("tokens").alias("hashes"), "n")
+    return both.where("n IS NULL").drop("n"), both.where("n IS NOT NULL").select("chunk", F.col("tokens").alias("hashes"), "n"), both
 
 
 def pair_counts(docs: DataFrame, top: np.ndarray) -> np.ndarray:
@@ -329,12 +329,6 @@ def summed(rows: DataFrame, column: str, n: int) -> np.ndarray:
     return out
 
 
-def released(spark: SparkSession) -> None:
-    """Lets the session drop shuffles that nothing uses any more; passes would pile them up on the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -355,7 +349,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     number follows the chunks' words. Repeated rows are scored, and counted, each.
     """
     spark = docs.sparkSession
-    texts, words = encoded(docs)
+    texts, words, both = encoded(docs)
     asked = words.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8
     shares = dealt(words, slices(spark, asked // BUCKET_WORDS + 1))
     state = stored(shares.groupBy("bucket").applyInPandas(merged, PARTS), "vocabulary")
@@ -378,14 +372,18 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     order = np.argsort(best)
     names, kinds = best[order], cls[order].astype(np.uint8)
 
-    state = stored(state.unionByName(shares).groupBy("bucket").applyInPandas(moved(names, kinds, None), PARTS), "classes")
+    vocabulary = state
+    state = stored(vocabulary.unionByName(shares).groupBy("bucket").applyInPandas(moved(names, kinds, None), PARTS), "classes")
+    release(vocabulary, found)
     for _ in range(PASSES):
         answers = state.where("what = 'answers'")
         entries = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(neighbours, PARTS), "entries")
         pairs = summed(entries.where("bucket < 0"), "a", KINDS * KINDS).reshape(KINDS, KINDS)
         all_ = state.where("what = 'vocabulary'").unionByName(shares).unionByName(entries.where("bucket >= 0"))
-        state = stored(all_.groupBy("bucket").applyInPandas(moved(names, kinds, pairs), PARTS), "classes")
-        released(spark)
+        after = stored(all_.groupBy("bucket").applyInPandas(moved(names, kinds, pairs), PARTS), "classes")
+        release(state, entries)
+        state = after
+        swept(spark)
 
     mass = np.zeros(KINDS)
 
@@ -416,6 +414,8 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     answers = state.where("what = 'answers'")
     read_ = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(read_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, steps binary")
     read_ = stored(read_, "read")
+    release(both, state)
+    swept(spark)
 
     def steps_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         m = len(blob) // 6
@@ -440,8 +440,13 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     count[:, UNKNOWN] = singly[:KINDS]
     count[UNKNOWN] = seen[KINDS]
     count[UNKNOWN, UNKNOWN] = singly[KINDS]
-    share = (count.sum(0) + 0.5) / (count.sum() + 0.5 * KINDS)
-    step = np.log10((count + SMOOTHING * share) / (count.sum(1, keepdims=True) + SMOOTHING))
+    # classes without words get no share
+    used = mass > 0
+    used[[UNKNOWN, LAST]] = True
+    share = (count.sum(0) + 0.5 * used) / (count.sum() + 0.5 * used.sum())
+    with np.errstate(divide="ignore"):
+        step = np.log10((count + SMOOTHING * share) / (count.sum(1, keepdims=True) + SMOOTHING))
+    step[:, ~used] = 0  # never read
     step = spark.sparkContext.broadcast(np.tile(step, (2, 2)).ravel())
 
     @F.pandas_udf("double")

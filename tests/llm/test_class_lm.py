@@ -65,3 +65,54 @@ def test_words_beyond_the_commonest_get_classes_too(spark):
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     # with both kinds known throughout it is log10(2), less what smoothing takes
     assert gain > 0.2, gain
+
+
+def test_score_by_plain_counts(spark, monkeypatch):
+    """The score from dictionaries over the classes found; the probabilities of all types sum to 1 after each class."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    odds = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40), p=odds / odds.sum()))) for i in range(120)] + [(500, "never seen w1"), (501, None)]
+    kept = []
+    real = class_lm.stored
+    monkeypatch.setattr(class_lm, "stored", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    monkeypatch.setattr(class_lm, "release", lambda *a: None)
+    monkeypatch.setattr(class_lm, "CHUNK_WORDS", 700)
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string"), top=40).collect()}
+    state = [df for name, df in kept if name == "classes"][-1].where("what = 'vocabulary'").collect()
+    own = {int(h): int(c & 127) for r in state for h, c in zip(np.frombuffer(r.a, "<u8"), np.frombuffer(r.c, np.uint8))}
+    hash_of = lambda w: 0 if w is None else int(class_lm.word_hashes([w.decode()])[0][0])
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    cls = {w: own[hash_of(w)] for w in c}
+    unknown, last = class_lm.UNKNOWN, class_lm.LAST
+    assert cls[None] == last and len({cls[w] for w in c}) > 5
+    pairs = Counter()
+    for t in train:
+        for a, b in zip([None, *t], t):
+            pairs[cls[a], cls[b]] += 1
+            if c[b] == 1:
+                pairs[cls[a], unknown] += 1
+            if a is not None and c[a] == 1:
+                pairs[unknown, cls[b]] += 1
+                if c[b] == 1:
+                    pairs[unknown, unknown] += 1
+    used = sorted({*cls.values(), unknown})
+    total = sum(pairs.values())
+    share = {k: (sum(pairs[a, k] for a in used) + 0.5) / (total + 0.5 * len(used)) for k in used}
+    mass = Counter()
+    for w, n in c.items():
+        mass[cls[w]] += n
+
+    def p(a, b):
+        return (pairs[a, b] + class_lm.SMOOTHING * share[b]) / (sum(pairs[a, k] for k in used) + class_lm.SMOOTHING)
+
+    for a in used:  # all types: the words of each class, the end, the unknown one
+        assert abs(sum(p(a, cls[w]) * c[w] / mass[cls[w]] for w in c) + p(a, unknown) - 1) < 1e-9
+    for i, t in rows:
+        want, a = 0.0, last
+        for w in tokens(t):
+            b = cls.get(w, unknown)
+            want += math.log10(p(a, b) * (c[w] / mass[b] if w in c else 1))
+            a = b
+        assert abs(want - got[i]) < 1e-6 * max(1, abs(want)), i

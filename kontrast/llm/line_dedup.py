@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +70,21 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = lines.select("spot", F.col("spot.row").alias("row"), F.col("spot.no").alias("no"), "line", "id").join(small(firsts, n_alive), ["row", "no", "id"])
     texts = stored(texts.drop("row", "no").distinct(), "lines-alive-text")
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for last, doc, row, no, line, low, high in zip(b["last"], b["doc_id"], b["row"], b["no"], b["line"], b["low"], b["high"], strict=True):
-                own, keys = deletion_hashes(line)
-                at = np.arange(len(keys))
-                at = at[(at >= low) | (at < high)]
-                out = pd.DataFrame({"key": np.append(own, keys[at]).view(np.int64), "place": np.append(-1, at).astype(np.int32), "last": last, "row": row, "no": np.int32(no)})
-                yield out.assign(doc_id=pd.array([doc] * len(out), dtype="Int64"))
-
-    # a missing id would turn a batch's ids into floats
-    flat = texts.select("spot.last", F.coalesce("spot.doc_id", F.lit(0)).alias("doc_id"), "spot.row", "spot.no", "line", "low", "high")
-    variants = flat.mapInPandas(emit, "key long, place int, last boolean, doc_id long, row long, no int")
-    variants = variants.select("key", "place", F.struct("last", F.when(~F.col("last"), F.col("doc_id")).alias("doc_id"), "row", "no").cast(SPOT).alias("own"))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                keys, places = [], []
+                for line, low, high in zip(*(b.column(c).to_pylist() for c in ("line", "low", "high")), strict=True):
+                    own, without = deletion_hashes(line)
+                    place = np.arange(len(without))
+                    place = place[(place >= low) | (place < high)]
+                    keys.append(np.append(own, without[place]))
+                    places.append(np.append(-1, place).astype(np.int32))
+                row = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), b.column("spot").take(row)], names=["key", "place", "own"])
+
+    variants = texts.select("spot", "line", "low", "high").mapInArrow(emit, f"key long, place int, own {SPOT}")
     same = Window.partitionBy("key", "place")
     hash_ = Window.partitionBy("key")
     deeper = F.min(F.when(F.col("place") < 0, F.col("own"))).over(hash_)

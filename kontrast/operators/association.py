@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .counting import windows
+
 LN2 = math.log(2)
 
 
@@ -102,15 +104,12 @@ def center_histogram(occurrences: DataFrame, width: int = 10) -> DataFrame:
 
 def pwm_scan(seqs: DataFrame, pwm: list[list[float]]) -> DataFrame:
     """(contrast, set_id, seq_id, pos, p): product of emissions in each window; a base that isn't acgt gives 0."""
-    k = len(pwm)
-    seq = F.col("sequence")
-    n = F.char_length(seq) - (k - 1)
-    rows = seqs.select("contrast", "set_id", "seq_id", "sequence", F.explode(F.when(n >= 1, F.sequence(F.lit(1), n))).alias("at"))
+    rows = seqs.select("contrast", "set_id", "seq_id", F.posexplode(windows(F.col("sequence"), len(pwm))).alias("pos", "word"))
     p = F.lit(1.0)
     for i, probs in enumerate(pwm):
-        letter = F.substring(seq, F.col("at") + i, F.lit(1))
+        letter = F.substring("word", i + 1, 1)
         p = p * F.when(letter == "a", probs[0]).when(letter == "c", probs[1]).when(letter == "g", probs[2]).when(letter == "t", probs[3]).otherwise(0.0)
-    return rows.select("contrast", "set_id", "seq_id", (F.col("at") - 1).alias("pos"), p.alias("p"))
+    return rows.select("contrast", "set_id", "seq_id", "pos", p.alias("p"))
 
 
 def logo_heights(rows: DataFrame) -> DataFrame:

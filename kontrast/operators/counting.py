@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import canonical, is_pure, packed, reverse_complement, to_regex
+from ..functions.alphabet import canonical, packed, reverse_complement, to_regex
+
+#: Pairs of pattern and word that are sent to the tasks at most; more are joined.
+MOST_HITS = 2_000_000
 
 
 def set_sizes(seqs: DataFrame) -> DataFrame:
@@ -20,23 +28,25 @@ def set_digests(seqs: DataFrame, block: int = 1000) -> DataFrame:
     return blocks.groupBy("contrast", "set_id").agg(F.sha1(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda r: r["d"])).cast("binary")).alias("digest"))
 
 
-def windows(seq: Column, k: int) -> Column:
-    """All words of length k of a sequence, in order."""
-    n = F.char_length(seq) - (k - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def windows(seq: Column, k: int, letter: str = ".") -> Column:
+    """All words of length k of a sequence, in order, whose characters match ``letter``; one pass over the sequence."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letter}{{{k}}}))"), F.lit(1))
 
 
-def words(seqs: DataFrame, k: int, both_strands: bool = False, per_occurrence: bool = False) -> DataFrame:
-    """(contrast, set_id, seq_id, word): distinct pure words of each sequence, or each occurrence.
+def word_lists(seqs: DataFrame, k: int, both_strands: bool = False, per_occurrence: bool = False) -> DataFrame:
+    """(contrast, set_id, seq_id, words): distinct pure words of each sequence, or each occurrence.
 
-    A row's words are made and reduced inside the row, so nothing is shuffled. With both strands a word stands for
-    itself and its reverse complement; by occurrence a palindrome counts once.
+    With both strands a word stands for itself and its reverse complement; by occurrence a palindrome counts once.
     """
-    w = windows(F.col("sequence"), k)
-    w = F.filter(w, is_pure)
+    w = windows(F.col("sequence"), k, "[acgt]")
     if both_strands:
         w = F.transform(w, canonical)
-    return seqs.select("contrast", "set_id", "seq_id", F.explode(w if per_occurrence else F.array_distinct(w)).alias("word"))
+    return seqs.select("contrast", "set_id", "seq_id", (w if per_occurrence else F.array_distinct(w)).alias("words"))
+
+
+def words(seqs: DataFrame, k: int, both_strands: bool = False, per_occurrence: bool = False) -> DataFrame:
+    """(contrast, set_id, seq_id, word): a row for each of ``word_lists``; nothing is shuffled."""
+    return word_lists(seqs, k, both_strands, per_occurrence).select("contrast", "set_id", "seq_id", F.explode("words").alias("word"))
 
 
 def word_counts(seqs: DataFrame, k: int, both_strands: bool = False, per_occurrence: bool = False) -> DataFrame:
@@ -45,11 +55,9 @@ def word_counts(seqs: DataFrame, k: int, both_strands: bool = False, per_occurre
 
 
 def occurrences_of(seq: Column, motif: str) -> Column:
-    """1-based starts of a pattern in a sequence, overlaps included."""
-    k = len(motif)
-    n = F.char_length(seq) - (k - 1)
-    hit = lambda i: F.regexp_like(F.substring(seq, i, F.lit(k)), F.lit(f"^{to_regex(motif)}$"))
-    return F.when(n >= 1, F.filter(F.sequence(F.lit(1), n), hit)).otherwise(F.array().cast("array<int>"))
+    """1-based starts of a pattern in a sequence, overlaps included; one pass over the sequence."""
+    starts = F.transform(windows(seq, len(motif)), lambda w, i: F.when(F.regexp_like(w, F.lit(f"^{to_regex(motif)}$")), i + 1))
+    return F.filter(starts, lambda i: i.isNotNull())
 
 
 def twin(motif: str) -> str:
@@ -64,8 +72,8 @@ def motif_count(seq: Column, motif: str, both_strands: bool = False, per_occurre
     if not per_occurrence:
         hit = F.regexp_like(seq, F.lit(to_regex(motif)))
         return (hit | F.regexp_like(seq, F.lit(to_regex(other))) if both_strands else hit).cast("int")
-    n = F.size(occurrences_of(seq, motif))
-    return n + F.size(occurrences_of(seq, other)) if both_strands and other != motif else n
+    count = lambda m: F.regexp_count(seq, F.lit(f"(?={to_regex(m)})"))
+    return count(motif) + count(other) if both_strands and other != motif else count(motif)
 
 
 def motif_counts(seqs: DataFrame, motifs: list[str], both_strands: bool = False, per_occurrence: bool = False) -> DataFrame:
@@ -75,22 +83,65 @@ def motif_counts(seqs: DataFrame, motifs: list[str], both_strands: bool = False,
     return wide.select("contrast", "set_id", F.explode(F.array(*[F.struct(F.lit(m).alias("motif"), F.col(f"n{i}").alias("n")) for i, m in enumerate(motifs)])).alias("x")).select("contrast", "set_id", "x.*")
 
 
-def pattern_hits(word_rows: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
-    """(pattern, contrast, set_id, word_hits, seq_hits) of ambiguity patterns among the rows of ``words``.
+def pattern_hits(lists: DataFrame, forms: DataFrame, k: int, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(pattern, contrast, set_id, word_hits, seq_hits) of ambiguity patterns among the rows of ``word_lists``.
 
-    A pure word matches a pattern if it has no bit that the pattern lacks. Patterns meet the distinct words, at most 4**k
-    whatever the input, and only the hits meet the sequences; ``patterns`` (pattern) is a bounded beam.
+    ``forms`` (pattern, form) is a bounded beam; a pure word matches a pattern if it has no bit that one of its forms
+    lacks. Patterns meet the distinct words, ``vocabulary`` (word), at most 4**k whatever the input. Up to MOST_HITS pairs
+    of pattern and word are sent to the tasks, which test each row's list and sum up before anything is shuffled; more are
+    joined with the words.
     """
-    coded = word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("__n")).select("word", packed(F.col("word"), k).alias("w"))
-    wanted = patterns.select("pattern", packed(F.col("pattern"), k).alias("p"))
-    hits = coded.join(F.broadcast(wanted), F.col("w").bitwiseAND(F.col("p")) == F.col("w")).select("pattern", "word")
-    found = word_rows.join(hits, "word")
-    per_seq = found.groupBy("pattern", "contrast", "set_id", "seq_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_seq.groupBy("pattern", "contrast", "set_id").agg(F.sum("n").alias("word_hits"), F.count(F.lit(1)).alias("seq_hits"))
+    if vocabulary is None:
+        vocabulary = lists.select(F.explode("words").alias("word")).distinct()
+    coded = vocabulary.select("word", packed(F.col("word"), k).alias("w"))
+    wanted = forms.select("pattern", packed(F.col("form"), k).alias("p"))
+    hits = coded.join(F.broadcast(wanted), F.col("w").bitwiseAND(F.col("p")) == F.col("w")).select("pattern", "word").distinct()
+    found = hits.limit(MOST_HITS + 1).toArrow()
+    if found.num_rows > MOST_HITS:
+        per_seq = lists.select("contrast", "set_id", "seq_id", F.explode("words").alias("word")).join(hits, "word").groupBy("pattern", "contrast", "set_id", "seq_id").agg(F.count(F.lit(1)).alias("n"))
+        return per_seq.groupBy("pattern", "contrast", "set_id").agg(F.sum("n").alias("word_hits"), F.count(F.lit(1)).alias("seq_hits"))
+
+    word, pattern = (found.column(c).combine_chunks().dictionary_encode() for c in ("word", "pattern"))
+    names, of_word = pattern.dictionary, pattern.indices.to_numpy()[np.argsort(word.indices.to_numpy(), kind="stable")].astype(np.int64)
+    ends = np.append(0, np.cumsum(np.bincount(word.indices.to_numpy(), minlength=len(word.dictionary)))).astype(np.int64)
+    shared = lists.sparkSession.sparkContext.broadcast((word.dictionary, of_word, ends, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_word, ends, names = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                if part.num_rows and len(names):
+                    yield counted(part, known, of_word, ends, names)
+
+    def counted(b: pa.RecordBatch, known: pa.Array, of_word: np.ndarray, ends: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+        lists_ = b.column("words")
+        row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists_), 0).to_numpy(zero_copy_only=False))
+        at = pc.fill_null(pc.index_in(lists_.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, at = row[at >= 0], at[at >= 0]
+        n = ends[at + 1] - ends[at]
+        first = np.repeat(ends[at] - np.cumsum(n) + n, n)
+        key, n = np.unique(np.repeat(row, n) * len(names) + of_word[first + np.arange(len(first))], return_counts=True)
+        sets = pa.StructArray.from_arrays([b.column("contrast"), b.column("set_id")], names=["contrast", "set_id"]).to_pylist()
+        ids = {s: i for i, s in enumerate(dict.fromkeys((s["contrast"], s["set_id"]) for s in sets))}
+        own = np.array([ids[s["contrast"], s["set_id"]] for s in sets])
+        cell, back = np.unique(own[key // len(names)] * len(names) + key % len(names), return_inverse=True)
+        which = list(ids)
+        cols = [names.take(pa.array(cell % len(names))), pa.array([which[i][0] for i in cell // len(names)], pa.string()), pa.array([which[i][1] for i in cell // len(names)], pa.int32())]
+        cols += [pa.array(np.bincount(back, n, len(cell)).astype(np.int64)), pa.array(np.bincount(back, minlength=len(cell)).astype(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, names=["pattern", "contrast", "set_id", "word_hits", "seq_hits"])
+
+    rows = lists.select(F.col("contrast").cast("string").alias("contrast"), F.col("set_id").cast("int").alias("set_id"), "words")
+    partial = rows.mapInArrow(run, "pattern string, contrast string, set_id int, word_hits long, seq_hits long")
+    return partial.groupBy("pattern", "contrast", "set_id").agg(F.sum("word_hits").alias("word_hits"), F.sum("seq_hits").alias("seq_hits"))
 
 
 def occurrence_table(seqs: DataFrame, motifs: dict[str, str], both_strands: bool = False) -> DataFrame:
-    """(seq_id, pos, end, motifname, motif, strand, forwardpos, centerdist): all matches, 0-based, overlaps kept."""
+    """(seq_id, pos, end, motifname, motif, strand, forwardpos, centerdist): all matches, 0-based, overlaps kept.
+
+    Matches of the other strand are found on the given one by the reverse complement of the pattern, so ``pos`` and
+    ``forwardpos`` both are the place on the forward strand.
+    """
     def places(name: str, motif: str, strand: str, form: str) -> Column:
         return F.transform(occurrences_of(F.col("sequence"), form), lambda i: F.struct((i - 1).alias("pos"), F.lit(name).alias("motifname"), F.lit(motif).alias("motif"), F.lit(strand).alias("strand")))
 
@@ -101,8 +152,7 @@ def occurrence_table(seqs: DataFrame, motifs: dict[str, str], both_strands: bool
             found.append(places(name, motif, "-", twin(motif)))
     rows = seqs.select("contrast", "set_id", "seq_id", F.char_length("sequence").alias("len"), F.explode(F.concat(*found)).alias("x")).select("contrast", "set_id", "seq_id", "len", "x.*")
     size = F.char_length("motif")
-    forward = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("len") - F.col("pos") - size)
-    return rows.select("contrast", "set_id", "seq_id", "pos", (F.col("pos") + size).alias("end"), "motifname", "motif", "strand", forward.alias("forwardpos"), (F.col("pos") + size / 2.0 - F.col("len") / 2.0).alias("centerdist"))
+    return rows.select("contrast", "set_id", "seq_id", "pos", (F.col("pos") + size).alias("end"), "motifname", "motif", "strand", F.col("pos").alias("forwardpos"), (F.col("pos") + size / 2.0 - F.col("len") / 2.0).alias("centerdist"))
 
 
 def both_strand_sequence(seqs: DataFrame) -> DataFrame:

@@ -31,11 +31,15 @@ def remove_motif(seqs: DataFrame, motif: str, both_strands: bool = False) -> Dat
 def mask_positions(seqs: DataFrame, mask: DataFrame, mark: str = "n") -> DataFrame:
     """``mask`` (seq_id, pos): 0-based positions to hide; a position past the end counts back from the end."""
     spots = mask.groupBy("seq_id").agg(F.collect_set(F.col("pos").cast("int")).alias("__spots"))
-    n = F.char_length("sequence")
-    inside = F.transform("__spots", lambda p: F.when(p < n, p).otherwise(2 * n - p))
-    rows = seqs.join(spots, "seq_id", "left").withColumn("__in", inside)
-    chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.array_contains("__in", i - 1), F.lit(mark)).otherwise(F.substring("sequence", i, F.lit(1))))
-    return rows.withColumn("sequence", F.when(F.col("__in").isNull() | (n == 0), F.col("sequence")).otherwise(F.array_join(chars, ""))).drop("__in", "__spots").select(*seqs.columns)
+    letters = F.transform(F.split("sequence", ""), lambda c, i: F.struct(i.alias("at"), F.lit(1).alias("kind"), c.alias("c")))
+    hidden = lambda n: F.transform("__spots", lambda p: F.struct(F.when(p < n, p).otherwise(2 * n - p).alias("at"), F.lit(0).alias("kind"), F.lit(mark).alias("c")))
+    inside = lambda n: F.filter(hidden(n), lambda x: (x["at"] >= 0) & (x["at"] < n))
+    # a transform over one element holds a value that would otherwise be worked out again for each letter
+    both = F.transform(F.array(F.char_length("sequence")), lambda n: F.array_sort(F.concat(inside(n), letters)))
+    # marks stand before the letters of their places, of which only the first entry of each stays: no letter is searched for
+    left = F.transform(both, lambda a: F.array_join(F.transform(F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["at"] != x["at"])), lambda x: x["c"]), ""))
+    rows = seqs.join(spots, "seq_id", "left")
+    return rows.withColumn("sequence", F.when(F.col("__spots").isNull() | (F.col("sequence") == ""), F.col("sequence")).otherwise(left[0])).drop("__spots").select(*seqs.columns)
 
 
 def drop_sequences(seqs: DataFrame, mask: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions.alphabet import degeneracy, generalizations, reverse_complement
-from .counting import motif_counts, pattern_hits, set_sizes, words
+from .counting import motif_counts, pattern_hits, set_sizes, word_lists
 from .masking import mask_motif, remove_motif
 
 
@@ -81,12 +81,12 @@ def find_seeds(seqs: DataFrame, length: int, objective: Objective, opt: Options)
 
     Level 0 counts pure words; each further level adds one base at one place to the beam's patterns, keeps those that
     score at least as much as their best parent, and cuts to the beam's width (ties by the pattern). The beam is a report
-    of fixed size; counting covers all sequences at every level. The word table is cached and shared by the levels.
+    of fixed size; counting covers all sequences at every level. The counts of distinct words, at most 4**length for each set, are cached.
     """
     sizes = sizes_of(seqs, opt.per_occurrence, length)
     score = score_column(sizes, objective, opt.pseudo_count, opt.enriched_only)
-    rows = words(seqs, length, opt.both_strands, opt.per_occurrence).persist()
-    counts = rows.groupBy("contrast", "set_id", F.col("word").alias("motif")).agg(F.count(F.lit(1)).alias("n"))
+    lists = word_lists(seqs, length, opt.both_strands, opt.per_occurrence)
+    counts = lists.select("contrast", "set_id", F.explode("words").alias("motif")).groupBy("contrast", "set_id", "motif").agg(F.count(F.lit(1)).alias("n")).persist()
     scored = wide_counts(counts, sizes, "motif").withColumn("score", score).where(F.col("score") > -math.inf)
     spark = seqs.sparkSession
 
@@ -102,30 +102,22 @@ def find_seeds(seqs: DataFrame, length: int, objective: Objective, opt: Options)
             break
         child = F.least(F.col("child"), reverse_complement(F.col("child"))) if opt.both_strands else F.col("child")
         kids = generalizations(beam.select("motif", "score"), "motif").withColumn("child", child).groupBy("child").agg(F.max("score").alias("parent_score"))
-        hits = strand_hits(rows, kids.select(F.col("child").alias("pattern")), length, opt)
+        hits = strand_hits(lists, kids.select(F.col("child").alias("pattern")), length, opt, counts.select(F.col("motif").alias("word")).distinct())
         again = wide_counts(hits, sizes, "motif").withColumn("score", score)
         again = again.join(F.broadcast(kids), F.col("motif") == F.col("child")).where("score >= parent_score").drop("child", "parent_score")
         beam = local(top(again.where(F.col("score") > -math.inf), opt.candidates, "motif"))
         best = best.unionByName(beam)
     out = local(best.dropDuplicates(["motif"]).withColumn("degeneracy", degeneracy(F.col("motif"))).orderBy(F.desc("score"), "motif"))
-    rows.unpersist()
+    counts.unpersist()
     return out
 
 
-def strand_hits(rows: DataFrame, patterns: DataFrame, length: int, opt: Options) -> DataFrame:
+def strand_hits(lists: DataFrame, patterns: DataFrame, length: int, opt: Options, vocabulary: DataFrame) -> DataFrame:
     """(motif, contrast, set_id, n). With both strands the words are canonical, so a pattern also matches by its twin."""
     n = "word_hits" if opt.per_occurrence else "seq_hits"
-    if not opt.both_strands:
-        return pattern_hits(rows, patterns, length).select(F.col("pattern").alias("motif"), "contrast", "set_id", F.col(n).alias("n"))
-    twins = patterns.select("pattern", F.explode(F.array_distinct(F.array("pattern", reverse_complement(F.col("pattern"))))).alias("form"))
-    coded = rows.select("word").distinct()
-    from ..functions.alphabet import packed
-
-    w, p = packed(F.col("word"), length), packed(F.col("form"), length)
-    hits = coded.join(F.broadcast(twins), w.bitwiseAND(p) == w).select("pattern", "word").distinct()
-    per_seq = rows.join(hits, "word").groupBy("pattern", "contrast", "set_id", "seq_id").agg(F.count(F.lit(1)).alias("k"))
-    per_set = per_seq.groupBy("pattern", "contrast", "set_id").agg(F.sum("k").alias("word_hits"), F.count(F.lit(1)).alias("seq_hits"))
-    return per_set.select(F.col("pattern").alias("motif"), "contrast", "set_id", F.col(n).alias("n"))
+    forms = F.array("pattern", reverse_complement(F.col("pattern"))) if opt.both_strands else F.array("pattern")
+    hits = pattern_hits(lists, patterns.select("pattern", F.explode(forms).alias("form")).distinct(), length, vocabulary)
+    return hits.select(F.col("pattern").alias("motif"), "contrast", "set_id", F.col(n).alias("n"))
 
 
 def _found(row, sizes, objective: Objective, opt: Options) -> Found:
@@ -171,7 +163,7 @@ def find_multiple(seqs: DataFrame, lengths: list[int], times: int, objective: Ob
                 found = [f for f in found if f.log_p < 0]
             if not found:
                 break
-            best = max(found, key=lambda f: (f.score, f.motif))
+            best = min(found, key=lambda f: (-f.score, f.motif))
             out.append(best)
             rest = (mask_motif if opt.mode == "mask" else remove_motif)(rest, best.motif, opt.both_strands)
     return sorted(out, key=lambda f: (f.log_p, f.motif))

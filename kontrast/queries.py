@@ -244,13 +244,13 @@ _FIVE = ["tatan", "rwyaa", "nnncg", "acgtm", "wwwww", "bbbbb"]
        + ", ".join(f"('{p}', '{A.to_regex(p)}')" for p in _FIVE) + ") p(pattern, re) ON regexp_full_match(word, re) GROUP BY ALL")
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in _FIVE])).alias("pattern"))
-    return C.pattern_hits(C.words(sequences(spark, sf_dir), 5), patterns, 5)
+    return C.pattern_hits(C.word_lists(sequences(spark, sf_dir), 5), patterns.select("pattern", F.col("pattern").alias("form")), 5)
 
 
 @query(f"""WITH {QUALITY}, o AS (SELECT *, unnest(range(1, length(sequence) - 5 + 2)) AS i FROM seqs WHERE length(sequence) >= 5),
  h AS (SELECT seq_id, set_id, contrast, length(sequence) AS len, i - 1 AS pos, '+' AS strand FROM o WHERE regexp_full_match(substring(sequence, i, 5), '{A.to_regex("rcgta")}')
  UNION ALL SELECT seq_id, set_id, contrast, length(sequence), i - 1, '-' FROM o WHERE regexp_full_match(substring(sequence, i, 5), '{A.to_regex(C.twin("rcgta"))}'))
-SELECT contrast, set_id, seq_id, CAST(pos AS INT) AS pos, CAST(pos + 5 AS INT) AS "end", 'm1' AS motifname, 'rcgta' AS motif, strand, CAST(CASE WHEN strand = '+' THEN pos ELSE len - pos - 5 END AS INT) AS forwardpos, round(pos + 2.5 - len / 2, 6) AS centerdist FROM h""")
+SELECT contrast, set_id, seq_id, CAST(pos AS INT) AS pos, CAST(pos + 5 AS INT) AS "end", 'm1' AS motifname, 'rcgta' AS motif, strand, CAST(pos AS INT) AS forwardpos, round(pos + 2.5 - len / 2, 6) AS centerdist FROM h""")
 def occurrence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.occurrence_table(sequences(spark, sf_dir), {"m1": "rcgta"}, both_strands=True).withColumn("centerdist", F.round("centerdist", 6))
 
@@ -375,7 +375,23 @@ def beam_one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("motif", "degeneracy", F.col("`quality:0`").alias("k0"), F.col("`quality:1`").alias("k1"), F.round("score", 6).alias("score"))
 
 
-@query()
+def _beam_sql(k: int, beam: int, levels: int) -> str:
+    """All levels of a beam over canonical words: each keeps the children that score at least as much as their best parent."""
+    parts = [f"""WITH {QUALITY}, {SIZES}, {_grams(k, _CANON)}, {_wide_sql(2)},
+ b0 AS (SELECT motif, 0 AS degeneracy, {_mi_sql(TWO)} AS score FROM wide WHERE k0 / n0 >= k1 / n1 ORDER BY score DESC, motif LIMIT {beam})"""]
+    twin = lambda x: f"reverse(translate({x}, 'acgtmrwsykvhdbn', 'tgcakywsrmbdhvn'))"
+    for i in range(levels):
+        regex = lambda x: f"lower(replace({_REGEX.replace('word', x)}, 'n', '.'))"
+        parts.append(f"""
+ kids{i} AS (SELECT least(child, {twin("child")}) AS child, max(score) AS parent FROM (SELECT substring(motif, 1, i - 1) || g.y || substring(motif, i + 1, {k}) AS child, score FROM (SELECT motif, score, unnest(range(1, {k + 1})) AS i FROM b{i}) JOIN {_GEN} ON substring(motif, i, 1) = g.x) GROUP BY 1),
+ hit{i} AS (SELECT child, parent, count(DISTINCT seq_id) FILTER (WHERE set_id = 0) AS k0, count(DISTINCT seq_id) FILTER (WHERE set_id = 1) AS k1, (SELECT set_size FROM sizes WHERE set_id = 0) AS n0, (SELECT set_size FROM sizes WHERE set_id = 1) AS n1
+   FROM words JOIN (SELECT *, {regex("child")} AS r, {regex(twin("child"))} AS t FROM kids{i}) ON regexp_full_match(word, r) OR regexp_full_match(word, t) GROUP BY ALL),
+ b{i + 1} AS (SELECT child AS motif, {i + 1} AS degeneracy, {_mi_sql(TWO)} AS score FROM hit{i} WHERE k0 / n0 >= k1 / n1 AND {_mi_sql(TWO)} >= parent ORDER BY score DESC, motif LIMIT {beam})""")
+    union = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(levels + 1))
+    return ",".join(parts) + f" SELECT motif, CAST(degeneracy AS INT) AS degeneracy, round(score, 6) AS score FROM ({union})"
+
+
+@query(_beam_sql(4, 10, 3))
 def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search at one length, both strands, by 10 candidates up to 3 of 12 degrees of degeneracy."""
     found = search.find_seeds(sequences(spark, sf_dir), 4, search.Objective("mi"), search.Options(candidates=10, both_strands=True, max_degeneracy=3))
@@ -395,9 +411,10 @@ _MASK = f"""WITH {QUALITY}, c AS (SELECT *, unnest(range(1, length(sequence) + 1
  m AS (SELECT DISTINCT seq_id, i + o AS i FROM (SELECT seq_id, i, unnest([0, 1, 2]) AS o FROM c WHERE substring(sequence, i, 3) IN ('tat', 'ata')))"""
 
 
-@query(f"{_MASK} SELECT c.seq_id, string_agg(CASE WHEN m.i IS NULL THEN substring(sequence, c.i, 1) ELSE '-' END, '' ORDER BY c.i) AS sequence FROM c LEFT JOIN m ON c.seq_id = m.seq_id AND c.i = m.i GROUP BY 1")
+@query(f"""{_MASK}, a AS (SELECT c.seq_id, string_agg(CASE WHEN m.i IS NULL THEN substring(sequence, c.i, 1) ELSE '-' END, '' ORDER BY c.i) AS x FROM c LEFT JOIN m ON c.seq_id = m.seq_id AND c.i = m.i GROUP BY 1)
+SELECT seqs.seq_id, coalesce(x, '') AS sequence FROM seqs LEFT JOIN a ON seqs.seq_id = a.seq_id""")
 def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.mask_motif(sequences(spark, sf_dir).where("sequence <> ''"), "tat", both_strands=True).select("seq_id", "sequence")
+    return masking.mask_motif(sequences(spark, sf_dir), "tat", both_strands=True).select("seq_id", "sequence")
 
 
 @query(f"WITH {QUALITY} SELECT seq_id, sequence FROM seqs WHERE NOT regexp_matches(sequence, 'tataa') AND NOT regexp_matches(sequence, 'ttata')")
@@ -411,9 +428,12 @@ def removal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.removal_report(seqs, masking.remove_motif(seqs, "tataa"))
 
 
-@query(f"WITH {QUALITY} SELECT seq_id, CASE WHEN seq_id % 3 = 0 THEN 'n' || substring(sequence, 2, 3) || 'n' || substring(sequence, 6) ELSE sequence END AS sequence FROM seqs WHERE length(sequence) > 5")
+@query(f"""WITH {QUALITY}, c AS (SELECT seq_id, sequence, length(sequence) AS n, unnest(range(0, length(sequence))) AS i FROM seqs WHERE seq_id % 3 = 0),
+ a AS (SELECT seq_id, string_agg(CASE WHEN i = 0 OR i = CASE WHEN 4 < n THEN 4 ELSE 2 * n - 4 END THEN 'n' ELSE substring(sequence, i + 1, 1) END, '' ORDER BY i) AS x FROM c GROUP BY 1)
+SELECT seqs.seq_id, coalesce(x, sequence) AS sequence FROM seqs LEFT JOIN a ON seqs.seq_id = a.seq_id""")
 def positional_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = sequences(spark, sf_dir).where("length(sequence) > 5")
+    """Places 0 and 4 of every third sequence; in sequences of up to four letters the second counts back from the end."""
+    seqs = sequences(spark, sf_dir)
     spots = seqs.where("seq_id % 3 = 0").select("seq_id", F.explode(F.array(F.lit(0), F.lit(4))).alias("pos"))
     return masking.mask_positions(seqs, spots).select("seq_id", "sequence")
 

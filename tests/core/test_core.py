@@ -181,3 +181,53 @@ def test_ranks_and_positions(spark):
     assert [r.upto for r in small] == [1, 2, 3, 4, 5, 5, 5, 5, 5, 5] and [r.place for r in small] == list(range(1, 11))
     t = S.tied_ranks(spark.createDataFrame([(0, v) for v in (1, 2, 2, 3)], "g int, v int"), ["g"], "v", "r").orderBy("v").collect()
     assert [r.r for r in t] == [1, 2.5, 2.5, 4]
+
+
+def test_long_sequences_take_one_pass(spark):
+    """A sequence of a million letters: words, places, a matrix and a mask, each in time linear in its length."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("acgt") for _ in range(1_000_000))
+    seqs = spark.createDataFrame([("c", 0, 1, long)], "contrast string, set_id int, seq_id long, sequence string")
+    want = {}
+    for i in range(len(long) - 3):
+        want[long[i : i + 4]] = want.get(long[i : i + 4], 0) + 1
+    C.word_counts(seqs, 4).count()
+    began = time.time()
+    assert {r.word: r.n for r in C.word_counts(seqs, 4, per_occurrence=True).collect()} == want
+    places = [r.pos for r in C.occurrence_table(seqs, {"m": "acgta"}).select("pos").collect()]
+    assert places == [i for i in range(len(long)) if long.startswith("acgta", i)]
+    assert C.motif_counts(seqs, ["acgta"], per_occurrence=True).first().n == len(places)
+    best = S.pwm_scan(seqs, [[0.7, 0.1, 0.1, 0.1]] * 4).agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    assert abs(best.p - 0.7**4) < 1e-12 and best.n == len(long) - 3
+    spots = spark.range(0, 1_000_000, 2).select(F.lit(1).cast("long").alias("seq_id"), F.col("id").alias("pos"))
+    hidden = masking.mask_positions(seqs, spots).first().sequence
+    assert hidden == "".join("n" if i % 2 == 0 else x for i, x in enumerate(long))
+    assert time.time() - began < 60
+
+
+def test_places_on_the_forward_strand(spark):
+    """A match of the other strand is reported where it stands on the given one."""
+    seqs = spark.createDataFrame([("c", 0, 1, "ttacgtcaaaa"), ("c", 0, 2, "tgacgtaa")], "contrast string, set_id int, seq_id long, sequence string")
+    got = sorted((r.seq_id, r.strand, r.pos, r.end, r.forwardpos) for r in C.occurrence_table(seqs, {"m": "gtca"}, both_strands=True).collect())
+    assert got == [(1, "+", 4, 8, 4), (2, "-", 0, 4, 0)]
+
+
+def test_hits_of_many_patterns_are_joined(spark, monkeypatch):
+    seqs = spark.createDataFrame([("c", i % 2, i, "acgtacgatt"[i:] + "ccgt") for i in range(6)], "contrast string, set_id int, seq_id long, sequence string")
+    forms = spark.createDataFrame([("nngn", "nngn"), ("acgt", "acgt"), ("wwww", "wwww")], "pattern string, form string")
+    for both in (False, True):
+        lists = C.word_lists(seqs, 4, both_strands=both, per_occurrence=both)
+        few = sorted(tuple(r) for r in C.pattern_hits(lists, forms, 4).collect())
+        monkeypatch.setattr(C, "MOST_HITS", 0)
+        assert few == sorted(tuple(r) for r in C.pattern_hits(lists, forms, 4).collect()) and len(few) >= 3
+        monkeypatch.undo()
+    assert C.pattern_hits(C.word_lists(seqs.limit(0), 4), forms, 4).count() == 0
+
+
+def test_ties_go_to_the_smaller_pattern(spark):
+    seqs = spark.createDataFrame([("c", 0, i, "aacc") for i in range(20)] + [("c", 1, 100 + i, "gggg") for i in range(20)], "contrast string, set_id int, seq_id long, sequence string")
+    found = search.find_multiple(seqs, [2], 1, search.Objective("mi"), search.Options(max_degeneracy=0))
+    assert found[0].motif == "aa"

@@ -227,14 +227,18 @@ def neighbours(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     if not len(docs) or not len(answers):
         return parts([])
     own, _, spans = in_order(answers)
-    kind, moves = (own & ~MOVES).astype(np.int64), own >= MOVES
-    t = np.frombuffer(b"".join(docs["tokens"]), "<u4").astype(np.int64)
+    kind, moves = (own & ~MOVES).astype(np.int32), own >= MOVES
+    t = np.frombuffer(b"".join(docs["tokens"]), "<u4")
     after = kind[t]
     before = np.append(LAST, after[:-1])
     pairs = np.bincount(before * KINDS + after, minlength=KINDS * KINDS)
     last, now = moves[t[:-1]], moves[t]
-    code = np.concatenate([t[:-1][last] * 2 * KINDS + after[1:][last], t[now] * 2 * KINDS + KINDS + before[now]])
-    code, n = np.unique(code, return_counts=True)
+    # a chunk's words times the kinds mostly fit into 32 bits
+    number = np.uint32 if len(own) * 2 * KINDS < 2**32 else np.uint64
+    sides = [np.unique(w.astype(number) * number(2 * KINDS) + c.astype(number), return_counts=True) for w, c in ((t[:-1][last], after[1:][last]), (t[now], before[now] + KINDS))]
+    code, n = (np.concatenate(x) for x in zip(*sides, strict=True))
+    order = np.argsort(code)
+    code, n = code[order].astype(np.int64), n[order]
     word = code // (2 * KINDS)
     size = np.bincount(word, minlength=len(own)).astype(np.uint8)
     code, n = (code % (2 * KINDS)).astype(np.uint8), n.astype("<u4")
@@ -258,7 +262,7 @@ def best_classes(pairs: np.ndarray, own: np.ndarray, mass: np.ndarray, word: np.
     table = xlog(old + (kinds % top)[:, None]) - xlog(old)
     words, start = np.unique(word, return_index=True)
     out = own.copy()
-    step = 4096
+    step = 1024
     for i in range(0, len(words), step):
         some = words[i : i + step]
         x, y = start[i], start[i + step] if i + step < len(start) else len(word)

@@ -6,7 +6,6 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,8 @@ from .common import hashed_share, read
 KINDS = ("email", "ip", "card", "phone")
 #: Longest candidate segment in tokens and code points, and the context read around each digit or at-sign.
 MOST_TOKENS, MOST_CHARS, CONTEXT = 24, 64, 96
-SAMPLE = 2000
+#: Texts whose stretches can teach the field, stretches and filler words taken from them, and the length of a stretch.
+SAMPLE, STRETCHES, FILLERS, PIECE = 2000, 750, 4000, 600
 
 # --- base patterns, each in time linear in the text ---
 
@@ -80,6 +80,7 @@ _material = re.compile(r"[0-9A-Za-z ._%+\-()\[\]{}<>:@/]*\Z")
 _numeric = re.compile(r"[0-9 .+\-()/]*\Z")
 _address = re.compile(r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[\[({<] ?at ?[\])}>] ?)[A-Za-z0-9-]+(?:(?: ?\. ?| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)[A-Za-z0-9-]+)+\Z", re.I)
 _quad = re.compile(r"([0-9]{1,3})(\.| ?\[\.\] ?| ?\(\.\) ?)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})\Z")
+_hex = re.compile(r"[0-9a-fA-F.:()\[\] ]+\Z")
 _v6 = re.compile(r"(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}){1,6}\Z", re.I)
 
 
@@ -130,13 +131,14 @@ def span_features(text: str, a: int, b: int) -> list[str]:
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first token, token after the last) of the segments that could be personal data: bounded in length, of fitting
-    characters, without a blank at either end, and with enough digits or an at-sign."""
+    """(first token, token after the last) of the segments that could be personal data, by length and kinds of characters
+    only: bounded, ending in a letter, digit or closing bracket, and either with an at-sign, or with 7 to 19 digits and no
+    letter, or with 4 digits at least, a point or colon, and no letter beyond f."""
     out = []
     for i, (a, e) in enumerate(tokens):
         if text[a].isspace() or not _material.match(text[a:e]):
             continue
-        digits, sign = 0, False
+        digits, sign, marks, letters = 0, False, False, False
         for j in range(i, min(len(tokens), i + MOST_TOKENS)):
             x, y = tokens[j]
             if y - a > MOST_CHARS:
@@ -150,8 +152,12 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
                 break
             digits += (y - x) if t[0].isdigit() else 0
             sign = sign or t == "@" or t.lower() == "at" and text[x - 1 : x] in tuple("[({< ")
-            s = text[a:y]
-            if (_numeric.match(s) and 7 <= digits <= 19) or (sign and _address.match(s)) or (digits >= 4 and (_quad.match(s) or (":" in s and _v6.match(s)))):
+            marks = marks or t in ".:"
+            if not t[-1].isalnum() and t not in ")]}":
+                continue
+            numeric = not sign and not letters and not t[0].isalpha()
+            letters = letters or (t[0].isalpha() and not sign)
+            if sign or (numeric and 7 <= digits <= 19) or (marks and digits >= 4 and _hex.match(text[a:y])):
                 out.append((i, j + 1))
     return out
 
@@ -202,6 +208,46 @@ class Field:
             at = before
         return out[::-1]
 
+    def gradient(self, n: int, ending: dict, path: dict[tuple[int, int], int]) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Log-likelihood of the segmentation ``path`` {(first token, token after the last): kind} of a text of n tokens, and
+        its derivatives by weights and steps: what the path has less its expectation over all segmentations."""
+        seg = [(i, j, names, self.scores(names)) for j, xs in sorted(ending.items()) for i, names in xs]
+        by_end: dict[int, list] = {}
+        for x in seg:
+            by_end.setdefault(x[1], []).append(x)
+        alpha, beta = np.full((n + 1, 5), -np.inf), np.full((n + 1, 5), -np.inf)
+        alpha[0, 0], beta[n] = 0.0, 0.0
+        for j in range(1, n + 1):
+            alpha[j, 0] = np.logaddexp.reduce(alpha[j - 1] + self.steps[:, 0])
+            for i, _, _, w in by_end.get(j, ()):
+                alpha[j, 1:] = np.logaddexp(alpha[j, 1:], np.logaddexp.reduce(alpha[i][:, None] + self.steps[:, 1:], 0) + w)
+        for j in range(n, 0, -1):
+            beta[j - 1] = np.logaddexp(beta[j - 1], self.steps[:, 0] + beta[j, 0])
+            for i, _, _, w in by_end.get(j, ()):
+                beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(self.steps[:, 1:] + w + beta[j, 1:], 1))
+        z = np.logaddexp.reduce(alpha[n])
+        likelihood, grad_steps = -z, np.zeros((5, 5))
+        for j in range(1, n + 1):
+            grad_steps[:, 0] -= np.exp(alpha[j - 1] + self.steps[:, 0] + beta[j, 0] - z)
+        grad: dict[str, np.ndarray] = {}
+        for i, j, names, w in seg:
+            joint = np.exp(alpha[i][:, None] + self.steps[:, 1:] + (w + beta[j, 1:]) - z)
+            grad_steps[:, 1:] -= joint
+            g = -joint.sum(0)
+            if (i, j) in path:
+                g[path[i, j]] += 1
+                likelihood += w[path[i, j]]
+            for f in names:
+                grad[f] = grad.get(f, 0) + g
+        label, j = 0, 0
+        spans = {i: (j, k + 1) for (i, j), k in path.items()}
+        while j < n:
+            nxt, now = spans.get(j, (j + 1, 0))
+            grad_steps[label, now] += 1
+            likelihood += self.steps[label, now]
+            label, j = now, nxt
+        return float(likelihood), grad, grad_steps
+
     def learn(self, examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-4) -> None:
         """Maximum likelihood by Adagrad; expectations by the forward and backward sums over all segmentations."""
         made = []
@@ -223,39 +269,7 @@ class Field:
         for _ in range(rounds):
             order.shuffle(made)
             for n, ending, path in made:
-                seg = [(i, j, names, self.scores(names)) for j, xs in sorted(ending.items()) for i, names in xs]
-                by_end: dict[int, list] = {}
-                for x in seg:
-                    by_end.setdefault(x[1], []).append(x)
-                alpha, beta = np.full((n + 1, 5), -np.inf), np.full((n + 1, 5), -np.inf)
-                alpha[0, 0], beta[n] = 0.0, 0.0
-                for j in range(1, n + 1):
-                    alpha[j, 0] = np.logaddexp.reduce(alpha[j - 1] + self.steps[:, 0])
-                    for i, _, _, w in by_end.get(j, ()):
-                        alpha[j, 1:] = np.logaddexp(alpha[j, 1:], np.logaddexp.reduce(alpha[i][:, None] + self.steps[:, 1:], 0) + w)
-                for j in range(n, 0, -1):
-                    beta[j - 1] = np.logaddexp(beta[j - 1], self.steps[:, 0] + beta[j, 0])
-                    for i, _, _, w in by_end.get(j, ()):
-                        beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(self.steps[:, 1:] + w + beta[j, 1:], 1))
-                z = np.logaddexp.reduce(alpha[n])
-                grad_steps = np.zeros((5, 5))
-                for j in range(1, n + 1):
-                    grad_steps[:, 0] -= np.exp(alpha[j - 1] + self.steps[:, 0] + beta[j, 0] - z)
-                grad: dict[str, np.ndarray] = {}
-                for i, j, names, w in seg:
-                    joint = np.exp(alpha[i][:, None] + self.steps[:, 1:] + (w + beta[j, 1:]) - z)
-                    grad_steps[:, 1:] -= joint
-                    g = -joint.sum(0)
-                    if (i, j) in path:
-                        g[path[i, j]] += 1
-                    for f in names:
-                        grad[f] = grad.get(f, 0) + g
-                label, j = 0, 0
-                spans = {i: (j, k + 1) for (i, j), k in path.items()}
-                while j < n:
-                    nxt, now = spans.get(j, (j + 1, 0))
-                    grad_steps[label, now] += 1
-                    label, j = now, nxt
+                _, grad, grad_steps = self.gradient(n, ending, path)
                 for f, g in grad.items():
                     g = g - decay * self.weights[f]
                     power[f] += g * g
@@ -295,21 +309,30 @@ def made_up(rng: random.Random) -> tuple[str | None, str]:
     return None, rng.choice([d(rng.randint(1, 6)), d(4), long, long, f"{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(3)},{d(3)}", f"${d(3)}.{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", d(rng.choice([7, 8, 9, 10, 12])), f"{d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{rng.randint(256, 999)}.{octet()}.{octet()}.{rng.randint(256, 999)}", f'token = "{"%040x" % rng.getrandbits(160)}"'])
 
 
-def training_set(texts: list[str], n: int = 1500, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Stretches of real text with their base matches, and the words of real text with made-up items between them."""
+def pieces_of(text: str) -> Iterator[str]:
+    """The stretches of a whole text around its triggers, longer ones cut at blanks into pieces of some PIECE code points."""
+    for a, b in regions(text):
+        while b - a > PIECE:
+            cut = text.find(" ", a + PIECE, b)
+            if cut < 0:
+                break
+            yield text[a:cut]
+            a = cut + 1
+        yield text[a:b]
+
+
+def training_set(stretches: list[str], fillers: list[str], n: int = 2 * STRETCHES, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Stretches of real text with their base matches, and filler words with made-up items between them."""
     rng = random.Random(seed)
     out = []
-    for t in texts:
-        for a, b in regions(t):
-            if b - a <= 600 and len(out) < n // 2:
-                part = t[a:b]
-                gold, end = [], 0
-                for s in base_spans(part):
-                    if s[1] >= end:
-                        gold.append(s)
-                        end = s[2]
-                out.append((part, gold))
-    words = [w for t in texts for w in t[:2000].split() if not _trigger.search(w)] or ["word"]
+    for part in stretches:
+        gold, end = [], 0
+        for s in base_spans(part):
+            if s[1] >= end:
+                gold.append(s)
+                end = s[2]
+        out.append((part, gold))
+    words = fillers or ["word"]
     while len(out) < n:
         text, gold = "", []
         for _ in range(rng.randint(1, 3)):
@@ -323,14 +346,26 @@ def training_set(texts: list[str], n: int = 1500, seed: int = 5) -> list[tuple[s
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learns from made-up items and from base matches in at most ``sample`` texts of a share of hashed ids, cut to
-    20,000 code points for training only."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, 20_000).alias("text"))
-    rows = rows.where(F.regexp_like("text", F.lit("[0-9@]")) | (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0))
-    rows = hashed_share(rows, "doc_id", docs.count(), sample)
-    texts = [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    """Learns from made-up items, and from base matches in at most STRETCHES stretches of some ``sample`` texts.
+
+    The texts are a share of hashed ids and are searched whole, by the tasks; of all their stretches, and of one in 50 of
+    their words, those of smallest hash come to the driver.
+    """
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = hashed_share(rows, "doc_id", docs.count(), sample).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                out += [("stretch", p) for p in pieces_of(text) if len(p) <= 4 * PIECE]
+                out += [("filler", w) for w in text.split()[::50] if len(w) <= MOST_CHARS and not _trigger.search(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["what", "part"])
+
+    parts = rows.mapInArrow(run, "what string, part string").distinct()
+    found = {what: [r["part"] for r in parts.where(F.col("what") == what).orderBy(F.xxhash64("part"), "part").limit(n).collect()] for what, n in (("stretch", STRETCHES), ("filler", FILLERS))}
     field = Field()
-    field.learn(training_set(texts))
+    field.learn(training_set(found["stretch"], found["filler"]))
     return field
 
 
@@ -369,13 +404,5 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE, field: Field | Non
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-@lru_cache(maxsize=1)
-def made_up_field() -> Field:
-    """A field learnt from made-up items alone."""
-    field = Field()
-    field.learn(training_set([]))
-    return field
-
-
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read(spark, sf_dir, "documents"))

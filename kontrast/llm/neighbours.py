@@ -19,7 +19,8 @@ TREES = 8
 SHARE = 0.08
 #: Leaves that a search visits at least, so that small tables are searched well.
 LEAST = 128
-GROUP = 20_000
+#: Vectors, and queries, that a task scores at a time.
+GROUP, ASKERS = 65_536, 20_000
 
 
 @dataclass
@@ -138,7 +139,7 @@ def nearest(
     # and so are the queries.
     per_leaf = max(1, total // min(t.leaves for t in forest))
     block, salts = max(1, GROUP // per_leaf), -(-per_leaf // GROUP)
-    askers = -(-asking.select("vid").distinct().count() // GROUP) or 1
+    askers = -(-asking.select("vid").distinct().count() // ASKERS) or 1
     shared = spark.sparkContext.broadcast((forest, longest))
 
     def unpack(v: pd.Series) -> np.ndarray:

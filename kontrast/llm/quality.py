@@ -17,8 +17,9 @@ from .common import hash_words, hashed_share, mix, read, stored, text_or_empty
 BITS = 20
 BLOCK = 1 << 14
 LABELLED = 50_000
-#: Standard deviations between a class and all text at which a feature's log ratio counts by half.
-EVIDENCE = 3.5
+#: Standard errors between a class and all text at which a feature's log ratio counts by half, and the part of the error of
+#: a log count that more texts don't lessen: words come in copies, in bursts and by language.
+EVIDENCE, BURST = 3.0, 0.7
 SMOOTHING = 2e3
 TEMPERATURE = 1.0
 #: Tasks, or sums of tasks, that are added up at a time.
@@ -74,7 +75,8 @@ class Model:
         ratios = []
         for counts in by_class:
             expected = counts.sum() * base
-            clear = (np.abs(counts - expected) / np.sqrt(expected + 1)) ** 4
+            error = np.sqrt(1 / (counts + 0.5) + 1 / (expected + 0.5) + BURST**2)
+            clear = (np.abs(np.log(counts + 0.5) - np.log(expected + 0.5)) / error) ** 4
             r = np.log((counts + SMOOTHING * base) / (counts.sum() + SMOOTHING)) - np.log(base)
             ratios.append(r * clear / (clear + EVIDENCE**4))
         self.ratios = np.array(ratios, np.float32)
@@ -157,7 +159,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, tempe
     text in their labelled shares: raw documents are of one kind or another, so a single model of n-grams drawn one by one
     would spread the junk of a few over all, and its weights would mostly tell the length of a text. Each model is smoothed
     by the counts over all documents; the log ratio of a feature shrinks towards 0 where its class differs from all text by
-    few standard deviations. The importance weight of a text is target over raw, at most 1 / the target's share. ``key`` is
+    few standard errors. The importance weight of a text is target over raw, at most 1 / the target's share. ``key`` is
     its log plus Gumbel noise of the given temperature, drawn from a hash of the id and text: at temperature 1 the ``k``
     largest keys are a sample without replacement by weight. ``k`` is the number of texts that are rather target than not
     unless given. Ties at the edge stay. A null or empty text has no features: its weight is 1. Rows that repeat id and text

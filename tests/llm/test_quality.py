@@ -93,8 +93,8 @@ def test_weights_by_plain_counts_and_sampling(spark):
     def log_ratio(c, f):
         base, total = (every[f] + 0.5) / (all_ + 0.5 * size), sum(by[c].values())
         n, m = by[c][f] + 0.5, total * base + 0.5
-        z = abs(math.log(n / m)) / math.sqrt(1 / n + 1 / m + 0.7**2)
-        return math.log((by[c][f] + 2000 * base) / (total + 2000) / base) * z**4 / (z**4 + 3.0**4)
+        z = abs(math.log(n / m)) / math.sqrt(1 / n + 1 / m + 0.65**2)
+        return math.log((by[c][f] + 2000 * base) / (total + 2000) / base) * z**4 / (z**4 + 2.7**4)
 
     for i, t in rows:
         s = [math.log((n[c] + 1) / (sum(n) + 3)) + sum(log_ratio(c, f) for f in plain_features(t)) for c in range(3)]

@@ -19,9 +19,9 @@ BLOCK = 1 << 14
 LABELLED = 50_000
 #: Standard errors between a class and all text at which a feature's log ratio counts by half, and the part of the error of
 #: a log count that more texts don't lessen: words come in copies, in bursts and by language.
-EVIDENCE, BURST = 2.7, 0.65
+EVIDENCE, BURST = 3.0, 0.7
 SMOOTHING = 2e3
-TEMPERATURE = 1.0
+TEMPERATURE = 0.5
 #: Tasks, or sums of tasks, that are added up at a time.
 FAN = 64
 #: Classes of labelled rows: accepted (the target), low quality, toxic.

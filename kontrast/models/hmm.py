@@ -125,6 +125,14 @@ class Hmm:
         e = np.maximum(self.emission[g.states], 1e-300)
         return float((2 + (e * np.log2(e)).sum(1)).sum())
 
+    def order(self) -> list[int]:
+        """States so that each comes after those from which alone it can be reached, by what can reach it; ties by number."""
+        reach = self.transition > 0
+        for k in range(len(reach)):
+            reach = reach | (reach[:, k : k + 1] & reach[k : k + 1])
+        one_way = reach & ~reach.T
+        return sorted(range(len(reach)), key=lambda s: (int(one_way[:, s].sum()), s))
+
     def edges(self) -> list[tuple[int, int, float]]:
         return [(int(i), int(j), float(self.transition[i, j])) for i, j in zip(*np.nonzero(self.transition), strict=True)]
 
@@ -215,6 +223,21 @@ def expected_entries(t: np.ndarray, e: np.ndarray, codes: np.ndarray, lengths: n
     return out
 
 
+def entry_posteriors(t: np.ndarray, e: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(position, sequence, state): the chance that the background is left for each state at each position."""
+    _, alphas, scales = forward(t, e, codes, lengths, True)
+    n, width = codes.shape
+    emit = _emit(e)
+    beta, out = np.ones((n, len(t))), np.zeros((width, n, len(t)))
+    for p in range(width - 1, -1, -1):
+        on = (p < lengths)[:, None]
+        ahead = emit[:, codes[:, p]].T * beta / scales[p][:, None]
+        here = alphas[p - 1][:, :1] if p else np.ones((n, 1))
+        out[p] = np.where(on, here * t[0] * ahead, 0.0)
+        beta = np.where(on, ahead @ t.T, beta)
+    return out
+
+
 def viterbi(t: np.ndarray, e: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     with np.errstate(divide="ignore"):
         lt, le = np.log(t), np.log(_emit(e))

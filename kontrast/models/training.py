@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hmm import Hmm, encode, expected_counts, expected_entries, forward, viterbi
+from .hmm import Hmm, encode, entry_posteriors, expected_counts, expected_entries, forward, viterbi
 
 #: Cells (sequences times positions times states) of one call of a kernel.
 CELLS = 4_000_000
@@ -100,6 +100,27 @@ def decode(seqs: DataFrame, model: Hmm) -> DataFrame:
     return seqs.select("contrast", "set_id", "seq_id", "sequence").mapInPandas(run, "contrast string, set_id int, seq_id long, log_p double, n_sites long, path string, sites array<struct<motif: string, pos: int, end: int>>")
 
 
+def posterior_lines(seqs: DataFrame, model: Hmm) -> DataFrame:
+    """(contrast, set_id, seq_id, pos, p_<motif> ..): the chance that a site of each motif begins at each position."""
+    starts = [[s for s in g.states if model.transition[0, s] > 0] for g in model.motifs]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            q = b["sequence"].tolist()
+            lines: list[list] = [[] for _ in q]
+            for ix in batches(q, len(model.transition)):
+                codes, lengths = encode([q[i] for i in ix])
+                post = entry_posteriors(model.transition, model.emission, codes, lengths)
+                each = np.stack([post[:, :, s].sum(2) for s in starts], 2) if starts else np.zeros((*post.shape[:2], 0))
+                for k, i in enumerate(ix):
+                    lines[i] = each[: lengths[k], k].tolist()
+            yield b[["contrast", "set_id", "seq_id"]].assign(lines=lines)
+
+    rows = seqs.select("contrast", "set_id", "seq_id", "sequence").mapInPandas(run, "contrast string, set_id int, seq_id long, lines array<array<double>>")
+    rows = rows.select("contrast", "set_id", "seq_id", F.posexplode("lines").alias("pos", "line"))
+    return rows.select("contrast", "set_id", "seq_id", "pos", *[F.col("line")[k].alias(f"p_{g.name}") for k, g in enumerate(model.motifs)])
+
+
 def path_mask(decoded: DataFrame) -> DataFrame:
     """(seq_id, pos): positions that the most likely paths give to motifs."""
     return decoded.select("seq_id", F.explode("sites").alias("s")).select("seq_id", F.explode(F.sequence(F.col("s.pos"), F.col("s.end") - 1)).alias("pos"))
@@ -396,12 +417,47 @@ def _flags(n: int, allowed: list[int] | None) -> np.ndarray:
     return out
 
 
-def class_posterior(seqs: DataFrame, models: dict[str, Hmm], priors: dict[str, float]) -> DataFrame:
-    """(contrast, set_id, seq_id, p_<class>): each class's share of prior times likelihood."""
+def class_posterior(seqs: DataFrame, models: dict[str, Hmm], priors: dict[str, float], likelihoods: bool = False) -> DataFrame:
+    """(contrast, set_id, seq_id, p_<class>): each class's share of prior times likelihood; or l_<class>, their logarithms."""
     out = None
     for name, model in models.items():
         s = score(seqs, model).select("contrast", "set_id", "seq_id", (F.col("log_p") + math.log(priors[name])).alias(f"l_{name}"))
         out = s if out is None else out.join(s, ["contrast", "set_id", "seq_id"])
+    if likelihoods:
+        return out
     top = F.greatest(*[F.col(f"l_{x}") for x in models]) if len(models) > 1 else F.col(f"l_{next(iter(models))}")
     z = sum((F.exp(F.col(f"l_{x}") - top) for x in models), F.lit(0.0))
     return out.select("contrast", "set_id", "seq_id", *[(F.exp(F.col(f"l_{x}") - top) / z).alias(f"p_{x}") for x in models])
+
+
+def reestimated_priors(seqs: DataFrame, models: dict[str, Hmm], priors: dict[str, float], rounds: int = 10, tolerance: float = 1e-6) -> dict[str, dict[str, float]]:
+    """{contrast: {class: prior}}: each contrast's class priors by expectation, from the classes' shares of its sequences.
+
+    Likelihoods are worked out once; each round sums the shares, with 1 added for each class, by contrast.
+    """
+    scored = class_posterior(seqs, models, {c: 1.0 for c in models}, likelihoods=True).persist()
+    now = {r["contrast"]: dict(priors) for r in scored.select("contrast").distinct().collect()}
+    for _ in range(rounds):
+        case = lambda c: F.coalesce(*[F.when(F.col("contrast") == k, F.lit(math.log(p[c]))) for k, p in now.items()])
+        joint = {c: F.col(f"l_{c}") + case(c) for c in models}
+        top = F.greatest(*joint.values()) if len(joint) > 1 else next(iter(joint.values()))
+        z = sum((F.exp(v - top) for v in joint.values()), F.lit(0.0))
+        if not now:
+            break
+        sums = scored.groupBy("contrast").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.exp(v - top) / z).alias(c) for c, v in joint.items()]).collect()
+        new = {r["contrast"]: {c: (r[c] + 1) / (r["n"] + len(models)) for c in models} for r in sums}
+        change = max(abs(new[k][c] - now[k][c]) for k in new for c in models)
+        now = new
+        if change < tolerance:
+            break
+    scored.unpersist()
+    return now
+
+
+def disjoint(tasks: list[tuple[str, list[int]]]) -> None:
+    """Raises if two training tasks (name, states) share a state."""
+    owner: dict[int, str] = {}
+    for name, states in tasks:
+        for s in states:
+            if owner.setdefault(s, name) != name:
+                raise ValueError(f"state {s} is trained by {owner[s]} and by {name}")

@@ -80,3 +80,35 @@ def find_mcmc(seqs: DataFrame, length: int, objective: Objective, opt: Options,
     out = parallel_tempering(starts, [temperature / 2**i for i in range(chains)], steps, moved, evaluate, seed)
     data.unpersist()
     return out
+
+
+def model_moved(model, rng: random.Random):
+    """A model with a motif's emissions changed at one place, its places rolled by one, or its rate of entry changed."""
+    import numpy as np
+
+    out = model.copy()
+    g = rng.choice(out.motifs)
+    kind = rng.random()
+    if kind < 0.6:
+        s = rng.choice(g.states)
+        e = np.maximum(out.emission[s] * np.exp([rng.gauss(0, 0.5) for _ in range(4)]), 1e-3)
+        out.emission[s] = e / e.sum()
+    elif kind < 0.8:
+        out.emission[g.states] = np.roll(out.emission[g.states], rng.choice([1, -1]), axis=0)
+    else:
+        enter = out.transition[0, g.states]
+        share = min(0.5, enter.sum() * np.exp(rng.gauss(0, 0.5)))
+        rest = 1 - enter.sum()
+        out.transition[0] *= (1 - share) / rest
+        out.transition[0, g.states] = enter / enter.sum() * share
+    return out
+
+
+def find_model_mcmc(seqs: DataFrame, start, measure: str = "mi", chains: int = 6, steps: int = 1000, temperature: float = 1e-3, seed: int = 1) -> list[tuple[float, object]]:
+    """(score, model) visited from a first model with a motif, best first; one pass over the data for each proposal."""
+    from ..models.training import objective
+
+    data = seqs.persist()
+    out = parallel_tempering([start] * chains, [temperature / 2**i for i in range(chains)], steps, model_moved, lambda models: [objective(data, m, measure, gradient=False)[0] for m in models], seed)
+    data.unpersist()
+    return out

@@ -22,6 +22,8 @@ class Objective:
     contrasts: dict[str, int] = field(default_factory=dict)
     weighted: bool = False
     motif: str = ""
+    #: Numbers of the sets that are the signal of a contrast; its first set where none is named.
+    signals: dict[str, list[int]] = field(default_factory=dict)
 
 
 @dataclass
@@ -54,6 +56,11 @@ def sizes_of(seqs: DataFrame, per_occurrence: bool = False, k: int = 1) -> dict[
     return out
 
 
+def ordered(sizes: dict[str, list[tuple[int, int]]], signals: dict[str, list[int]] | None) -> dict[str, list[tuple[int, int]]]:
+    """``sizes`` with the signal's sets of each contrast first."""
+    return {c: sorted(sets, key=lambda x: (x[0] not in signals[c], x[0])) if signals and c in signals else sets for c, sets in sizes.items()}
+
+
 def wide_counts(counts: DataFrame, sizes: dict[str, list[tuple[int, int]]], key: str) -> DataFrame:
     """One row for each pattern with a column for each set, 0 where it never stands."""
     cols = [F.coalesce(F.sum(F.when((F.col("contrast") == c) & (F.col("set_id") == s), F.col("n"))), F.lit(0)).alias(f"{c}:{s}") for c, sets in sizes.items() for s, _ in sets]
@@ -66,6 +73,7 @@ def score_column(sizes: dict[str, list[tuple[int, int]]], objective: Objective,
     if missing := set(signs) - set(sizes):
         raise ValueError(f"no such contrast: {', '.join(sorted(missing))}")
     parts = []
+    sizes = ordered(sizes, objective.signals)
     for c, sign in signs.items():
         cells = [(F.least(F.col(f"`{c}:{s}`"), F.lit(n)), F.lit(n)) for s, n in sizes[c]]
         parts.append((sign, M.measure(objective.measure, cells, ps, enriched_only), F.lit(float(sum(n for _, n in sizes[c]))) if objective.weighted else None))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..functions.alphabet import LETTERS
 from ..models.hmm import Hmm
 from ..models.training import decode, objective, score, train_em, train_gradient
 from ..operators import association as S
-from ..operators.counting import set_sizes
+from ..operators.counting import both_strand_sequence, set_sizes
 from ..operators.sampling import split, with_control
 from ..operators.search import Objective, Options, find_multiple
 
@@ -65,17 +65,40 @@ def log_p(seqs: DataFrame, model: Hmm, ps: float = 1.0) -> float:
     return out + M.FIXED_CORRECTION * sum(len(g.states) for g in model.motifs)
 
 
-def evaluate(seqs: DataFrame, model: Hmm) -> dict[str, DataFrame]:
-    """Per sequence scores and paths, occurrences, tables by set, and ranks, as DataFrames."""
+def plan_from(path: str, **overrides) -> Plan:
+    """A plan from a TOML file of its fields, with a table ``search`` for the search; ``overrides`` win."""
+    import tomllib
+    from pathlib import Path
+
+    told = tomllib.loads(Path(path).read_text()) | overrides
+    names = {f.name for f in fields(Plan)}
+    if unknown := set(told) - names:
+        raise ValueError(f"no such option: {', '.join(sorted(unknown))}")
+    if isinstance(told.get("search"), dict):
+        told["search"] = Options(**told["search"])
+    return Plan(**{k: tuple(v) if k == "padding" else v for k, v in told.items()})
+
+
+def evaluate(seqs: DataFrame, model: Hmm, both_strands: bool = False) -> dict[str, DataFrame]:
+    """Per sequence scores and paths, occurrences, tables by set, and ranks, as DataFrames.
+
+    With both strands the model reads each sequence and its reverse complement; a site on the latter is reported with the
+    strand - and where it stands on the forward strand.
+    """
+    forward = seqs
+    seqs = both_strand_sequence(seqs) if both_strands else seqs
     s = score(seqs, model)
     paths = decode(seqs, model)
     motif = {g.name: "".join(model.consensus(g.name)) for g in model.motifs}
     named = F.element_at(F.create_map(*[F.lit(x) for kv in motif.items() for x in kv]), "motifname") if motif else F.lit("")
-    size = seqs.select("contrast", "set_id", "seq_id", F.char_length("sequence").alias("len"))
+    size = forward.select("contrast", "set_id", "seq_id", F.char_length("sequence").alias("len"))
     occ = paths.select("contrast", "set_id", "seq_id", F.explode("sites").alias("x")).select("contrast", "set_id", "seq_id", "x.pos", "x.end", F.col("x.motif").alias("motifname"))
-    occ = occ.join(size, ["contrast", "set_id", "seq_id"]).withColumns({"motif": named, "strand": F.lit("+"), "forwardpos": F.col("pos"), "centerdist": (F.col("pos") + F.col("end")) / 2 - F.col("len") / 2}).drop("len")
+    occ = occ.join(size, ["contrast", "set_id", "seq_id"])
+    back = F.col("pos") > F.col("len")  # after the separator: the other strand, read from its end
+    place = F.when(back, 2 * F.col("len") + 1 - F.col("end")).otherwise(F.col("pos"))
+    occ = occ.withColumns({"motif": named, "strand": F.when(back, "-").otherwise("+"), "forwardpos": place, "centerdist": place + (F.col("end") - F.col("pos")) / 2 - F.col("len") / 2}).drop("len")
     ranks = S.rank_information(s.join(seqs.select("contrast", "set_id", "seq_id", "rank"), ["contrast", "set_id", "seq_id"]), ["contrast", "set_id"], value="p_site")
-    return {"scores": s, "paths": paths, "occurrences": occ, "bed": occ.select("seq_id", "pos", "end", "motifname", F.lit(0).alias("score"), "strand"), "sets": s.groupBy("contrast", "set_id").agg(F.sum("p_site").alias("with_site"), F.sum("sites").alias("sites"), F.sum("log_p").alias("log_p")), "confusion": S.confusion(s, "p_site"), "ranks": ranks}
+    return {"scores": s, "paths": paths, "occurrences": occ, "bed": occ.select("seq_id", F.col("forwardpos").alias("pos"), (F.col("forwardpos") + F.col("end") - F.col("pos")).alias("end"), "motifname", F.lit(0).alias("score"), "strand"), "sets": s.groupBy("contrast", "set_id").agg(F.sum("p_site").alias("with_site"), F.sum("sites").alias("sites"), F.sum("log_p").alias("log_p")), "confusion": S.confusion(s, "p_site"), "ranks": ranks}
 
 
 def analyse(seqs: DataFrame, plan: Plan) -> tuple[Hmm, float, dict[str, DataFrame]]:

@@ -10,6 +10,7 @@ from .functions import measures as M
 from .operators import association as S
 from .operators import counting as C
 from .operators import masking, sampling, search
+from .operators import report as R
 from .sources.tables import sequences, table
 
 QUERIES: dict = {}
@@ -538,6 +539,39 @@ def logo_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.logo_heights(rows).withColumn("height", F.round("height", 9))
 
 
+@query("SELECT i AS pos, " + ", ".join(f"CASE WHEN contains(b, '{x}') THEN 1.0::DOUBLE / length(b) ELSE 0 END AS {x}" for x in "acgt") + " FROM (VALUES " + ", ".join(f"({i}, '{A.IUPAC[x]}')" for i, x in enumerate("acgtrymkswvhdbn")) + ") v(i, b)")
+def pattern_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(R.matrix_of("acgtrymkswvhdbn"), "pos int, a double, c double, g double, t double")
+
+
+_TWO_MOTIFS = ["tataa", "rcgta"]
+
+
+@query(f"""WITH {QUALITY}, {SIZES}, s AS (SELECT m.motif, m.r, seq_id, set_id FROM seqs JOIN (VALUES {", ".join(f"('{m}', '{A.to_regex(m)}')" for m in _TWO_MOTIFS)}) m(motif, r) ON regexp_matches(sequence, m.r)),
+ wide AS (SELECT motif, any_value(r) AS regex, count(*) FILTER (WHERE set_id = 0) AS k0, count(*) FILTER (WHERE set_id = 1) AS k1, (SELECT set_size FROM sizes WHERE set_id = 0) AS n0, (SELECT set_size FROM sizes WHERE set_id = 1) AS n1 FROM s GROUP BY 1)
+SELECT motif, regex, CAST(length(motif) AS INT) AS length, CASE motif WHEN 'tataa' THEN 10.0::DOUBLE ELSE 9.0::DOUBLE END AS ic, CAST(CASE motif WHEN 'tataa' THEN 0 ELSE 1 END AS INT) AS degeneracy, k0, k1, round({_mi_sql(TWO)}, 6) AS mi, round(2 * ln(2) * {_z_sql(TWO)} * {_mi_sql(TWO)}, 5) AS g,
+ round(k0 / n0 - k1 / n1, 6) AS dfreq FROM wide""")
+def seed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = R.seed_report(sequences(spark, sf_dir), _TWO_MOTIFS)
+    k = lambda i: F.col("counts")[i]["with_motif"].alias(f"k{i}")
+    return r.select("motif", "regex", "length", F.round("ic", 6).alias("ic"), "degeneracy", k(0), k(1), F.round("mi", 6).alias("mi"), F.round("g", 5).alias("g"), F.round("dfreq", 6).alias("dfreq"))
+
+
+@query(f"""WITH {QUALITY}, o AS (SELECT *, unnest(range(1, length(sequence) - 5 + 2)) AS i FROM seqs WHERE length(sequence) >= 5),
+ h AS (SELECT seq_id, i - 1 AS start, i + 4 AS stop, 'm0' AS motifname FROM o WHERE substring(sequence, i, 5) = 'tataa' UNION ALL SELECT seq_id, i - 1, i + 4, 'm1' FROM o WHERE regexp_full_match(substring(sequence, i, 5), '{A.to_regex("rcgta")}'))
+SELECT seq_id, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", 'site_' || (row_number() OVER (PARTITION BY seq_id ORDER BY start, stop, motifname) - 1) AS name, 0 AS score, '+' AS strand FROM h""")
+def seed_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bed(C.occurrence_table(sequences(spark, sf_dir), {f"m{i}": m for i, m in enumerate(_TWO_MOTIFS)}))
+
+
+@query(f"""WITH {QUALITY}, c AS (SELECT seq_id, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM seqs),
+ a AS (SELECT seq_id, string_agg(CASE WHEN regexp_matches(substring(sequence, CAST(greatest(1, i - 2) AS BIGINT), CAST(least(i, 3) + 2 AS BIGINT)), 'ata') THEN 'A' ELSE '.' END, '' ORDER BY i) AS marks FROM c GROUP BY 1)
+SELECT seqs.seq_id, coalesce(marks, '') AS marks FROM seqs LEFT JOIN a ON seqs.seq_id = a.seq_id""")
+def annotated_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter over each place that an occurrence covers."""
+    return R.annotated(sequences(spark, sf_dir), ["ata"]).select("seq_id", "marks")
+
+
 # --- models ---
 
 MODEL_SEED = "tataa"

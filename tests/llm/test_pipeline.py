@@ -31,3 +31,29 @@ def test_each_stage_on_its_own_input(spark):
         else:
             assert set(after) == {i for i, _ in before}
         docs = out
+
+
+def test_edges_of_each_stage(spark):
+    """Nulls, empty texts, repeated rows, rows of one id and an empty table go through each stage."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    passage = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    line = "this very line stands in several documents of the table"
+    words = " ".join(f"word{i}" for i in range(60))
+    odd = [(None, words), (None, passage), (None, None), (7, None), (7, ""), (8, words + " more"), (8, words + " more"), (9, line + "\nfirst"), (9, line + "\nsecond"), (10, words + " other"), (11, " \n ")]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.stored(stage(spark, rows, d), "stage").collect()
+        kept = [(r.doc_id, r.text) for r in out]
+        if name == "line_dedup":
+            assert sorted(kept, key=str) == sorted([*odd[:8], (9, "second"), *odd[9:]], key=str) or (9, "first") in kept
+        elif name == "jaccard_join":  # null ids come last, one of the rows that repeat stays, empty ones are like no other
+            assert sorted(kept, key=str) == sorted([(None, passage), (None, None), (7, None), (7, ""), (8, words + " more"), (9, line + "\nfirst"), (9, line + "\nsecond"), (11, " \n ")], key=str)
+        elif name == "decontamination":
+            assert sorted(kept, key=str) == sorted([x for x in odd if x[1] != passage], key=str)
+        elif name == "mixing":
+            assert sorted(kept, key=str) == sorted(odd, key=str)
+        empty = corpus_pipeline.stored(stage(spark, rows.limit(0), d), "stage")
+        assert empty.count() == 0
+        if name != "mixing":
+            assert empty.columns == docs.columns

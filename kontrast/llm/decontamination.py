@@ -67,7 +67,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, slop: int = 0) -
     n_terms, n_spread = terms.count(), spread.count()
     index = postings_of(docs, terms, n_terms)
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = spread.groupBy("window", "term").agg(F.min("word").alias("word"), F.min("offset").alias("offset")).join(counts, "term", "left")
+    rarest = spread.groupBy("window", "term").agg(F.min("word").alias("word"), F.min("offset").alias("offset")).join(small(counts, n_terms), "term", "left")
     order = Window.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "word", "offset")
     ranked = rarest.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy("window").agg(
         *[F.min(F.when(F.col("place") == k, F.struct("df", "term", "offset"))).alias(f"t{k}") for k in (1, 2)]

@@ -19,6 +19,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/kontrast-tables"
     if not base:
         if _own is None:
             _own = tempfile.mkdtemp(prefix="kontrast-")

@@ -584,7 +584,27 @@ def _model(seqs: DataFrame):
     return background(seqs).add_motif(MODEL_SEED, "tata", n[0] / n[1])
 
 
-@query()
+def _forward_sql() -> str:
+    """Scaled forward values a and their derivatives b by the rate of entry, one letter of all sequences a step.
+
+    The sum of b at the end is the expected number of entries.
+    """
+    w = len(MODEL_SEED)
+    background = "CASE x " + " ".join(f"WHEN '{b}' THEN e_{b}" for b in "acgt") + " END"
+    emit = [background, *(f"CASE WHEN x = '{c}' THEN 0.91 ELSE 0.03 END" for c in MODEL_SEED)]
+    come = [f"a0 * (1 - s) + a{w}", "a0 * s", *(f"a{i}" for i in range(1, w))]
+    more = [f"b0 * (1 - s) + b{w}", "b0 * s + a0 * s", *(f"b{i}" for i in range(1, w))]
+    states = range(w + 1)
+    return f"""WITH RECURSIVE {QUALITY},
+ par AS (SELECT least(0.5, 1 / greatest(1, sum(length(sequence)) / count(*) - {w} + 1)) AS s, {", ".join(f"(sum(length(sequence) - length(replace(sequence, '{b}', ''))) + 1) / (sum(length(sequence)) + 4) AS e_{b}" for b in "acgt")} FROM seqs),
+ f AS (SELECT contrast, set_id, seq_id, sequence, CAST(0 AS BIGINT) AS pos, CAST(0 AS DOUBLE) AS log, CAST(0 AS DOUBLE) AS log0, {", ".join(f"CAST({int(n + str(i) == 'a0')} AS DOUBLE) AS {n}{i}" for n in "ab" for i in states)} FROM seqs
+  UNION ALL SELECT contrast, set_id, seq_id, sequence, pos + 1, log + ln(c), log0 + ln((1 - s) * bg), {", ".join(f"{n}{i} / c" for n in "nm" for i in states)}
+  FROM (SELECT *, {" + ".join(f"n{i}" for i in states)} AS c FROM (SELECT *, {background} AS bg, {", ".join(f"({come[i]}) * {emit[i]} AS n{i}, ({more[i]}) * {emit[i]} AS m{i}" for i in states)}
+        FROM (SELECT *, substring(sequence, pos + 1, 1) AS x FROM f WHERE pos < length(sequence)) CROSS JOIN par)))
+SELECT contrast, CAST(set_id AS INT) AS set_id, seq_id, round(log, 6) AS log_p, round(CASE WHEN pos > 0 THEN 1 - exp(least(0, log0 - log)) ELSE 0 END, 6) AS p_site, round({" + ".join(f"b{i}" for i in states)}, 6) AS sites FROM f WHERE pos = length(sequence)"""
+
+
+@query(_forward_sql())
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood and site probability of each sequence; kernels are tested against enumeration of paths."""
     from .models.training import score

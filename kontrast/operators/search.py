@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions.alphabet import degeneracy, generalizations, reverse_complement
-from .counting import motif_counts, pattern_hits, set_sizes, word_lists
+from .counting import motif_counts, pattern_hits, set_sizes, word_counts
 from .masking import mask_motif, remove_motif
 
 
@@ -89,12 +89,11 @@ def find_seeds(seqs: DataFrame, length: int, objective: Objective, opt: Options)
 
     Level 0 counts pure words; each further level adds one base at one place to the beam's patterns, keeps those that
     score at least as much as their best parent, and cuts to the beam's width (ties by the pattern). The beam is a report
-    of fixed size; counting covers all sequences at every level. The counts of distinct words, at most 4**length for each set, are cached.
+    of fixed size; counting covers all sequences at every level, in one pass.
     """
     sizes = sizes_of(seqs, opt.per_occurrence, length)
     score = score_column(sizes, objective, opt.pseudo_count, opt.enriched_only)
-    lists = word_lists(seqs, length, opt.both_strands, opt.per_occurrence)
-    counts = lists.select("contrast", "set_id", F.explode("words").alias("motif")).groupBy("contrast", "set_id", "motif").agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = word_counts(seqs, length, opt.both_strands, opt.per_occurrence).withColumnRenamed("word", "motif")
     scored = wide_counts(counts, sizes, "motif").withColumn("score", score).where(F.col("score") > -math.inf)
     spark = seqs.sparkSession
 
@@ -110,21 +109,20 @@ def find_seeds(seqs: DataFrame, length: int, objective: Objective, opt: Options)
             break
         child = F.least(F.col("child"), reverse_complement(F.col("child"))) if opt.both_strands else F.col("child")
         kids = generalizations(beam.select("motif", "score"), "motif").withColumn("child", child).groupBy("child").agg(F.max("score").alias("parent_score"))
-        hits = strand_hits(lists, kids.select(F.col("child").alias("pattern")), length, opt, counts.select(F.col("motif").alias("word")).distinct())
+        hits = strand_hits(seqs, kids.select(F.col("child").alias("pattern")), length, opt)
         again = wide_counts(hits, sizes, "motif").withColumn("score", score)
         again = again.join(F.broadcast(kids), F.col("motif") == F.col("child")).where("score >= parent_score").drop("child", "parent_score")
         beam = local(top(again.where(F.col("score") > -math.inf), opt.candidates, "motif"))
         best = best.unionByName(beam)
     out = local(best.dropDuplicates(["motif"]).withColumn("degeneracy", degeneracy(F.col("motif"))).orderBy(F.desc("score"), "motif"))
-    counts.unpersist()
     return out
 
 
-def strand_hits(lists: DataFrame, patterns: DataFrame, length: int, opt: Options, vocabulary: DataFrame) -> DataFrame:
+def strand_hits(seqs: DataFrame, patterns: DataFrame, length: int, opt: Options) -> DataFrame:
     """(motif, contrast, set_id, n). With both strands the words are canonical, so a pattern also matches by its twin."""
     n = "word_hits" if opt.per_occurrence else "seq_hits"
     forms = F.array("pattern", reverse_complement(F.col("pattern"))) if opt.both_strands else F.array("pattern")
-    hits = pattern_hits(lists, patterns.select("pattern", F.explode(forms).alias("form")).distinct(), length, vocabulary)
+    hits = pattern_hits(seqs, patterns.select("pattern", F.explode(forms).alias("form")), length, opt.both_strands, opt.per_occurrence)
     return hits.select(F.col("pattern").alias("motif"), "contrast", "set_id", F.col(n).alias("n"))
 
 

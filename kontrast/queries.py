@@ -245,7 +245,7 @@ _FIVE = ["tatan", "rwyaa", "nnncg", "acgtm", "wwwww", "bbbbb"]
        + ", ".join(f"('{p}', '{A.to_regex(p)}')" for p in _FIVE) + ") p(pattern, re) ON regexp_full_match(word, re) GROUP BY ALL")
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in _FIVE])).alias("pattern"))
-    return C.pattern_hits(C.word_lists(sequences(spark, sf_dir), 5), patterns.select("pattern", F.col("pattern").alias("form")), 5)
+    return C.pattern_hits(sequences(spark, sf_dir), patterns.select("pattern", F.col("pattern").alias("form")), 5)
 
 
 @query(f"""WITH {QUALITY}, o AS (SELECT *, unnest(range(1, length(sequence) - 5 + 2)) AS i FROM seqs WHERE length(sequence) >= 5),

@@ -219,15 +219,33 @@ def test_hits_of_many_patterns_are_joined(spark, monkeypatch):
     seqs = spark.createDataFrame([("c", i % 2, i, "acgtacgatt"[i:] + "ccgt") for i in range(6)], "contrast string, set_id int, seq_id long, sequence string")
     forms = spark.createDataFrame([("nngn", "nngn"), ("acgt", "acgt"), ("wwww", "wwww")], "pattern string, form string")
     for both in (False, True):
-        lists = C.word_lists(seqs, 4, both_strands=both, per_occurrence=both)
-        few = sorted(tuple(r) for r in C.pattern_hits(lists, forms, 4).collect())
+        few = sorted(tuple(r) for r in C.pattern_hits(seqs, forms, 4, both, both).collect())
         monkeypatch.setattr(C, "MOST_HITS", 0)
-        assert few == sorted(tuple(r) for r in C.pattern_hits(lists, forms, 4).collect()) and len(few) >= 3
+        assert few == sorted(tuple(r) for r in C.pattern_hits(seqs, forms, 4, both, both).collect()) and len(few) >= 3
         monkeypatch.undo()
-    assert C.pattern_hits(C.word_lists(seqs.limit(0), 4), forms, 4).count() == 0
+    assert C.pattern_hits(seqs.limit(0), forms, 4).count() == 0
 
 
 def test_ties_go_to_the_smaller_pattern(spark):
     seqs = spark.createDataFrame([("c", 0, i, "aacc") for i in range(20)] + [("c", 1, 100 + i, "gggg") for i in range(20)], "contrast string, set_id int, seq_id long, sequence string")
     found = search.find_multiple(seqs, [2], 1, search.Objective("mi"), search.Options(max_degeneracy=0))
     assert found[0].motif == "aa"
+
+
+def test_words_across_pieces(spark, monkeypatch):
+    """Words of sequences that are numbered in pieces: none is lost or counted twice at their ends."""
+    monkeypatch.setattr(C, "PIECE", 7)
+    rng = random.Random(11)
+    seqs = ["".join(rng.choice("acgtn") for _ in range(rng.randrange(60))) for _ in range(30)] + ["", "é" * 9 + "acgtacg"]
+    for both in (False, True):
+        for each in (False, True):
+            row, code, n = C.word_codes(seqs, 3, both, each)
+            got = {(int(i), int(c)): int(x) for i, c, x in zip(row, code, n)}
+            want = Counter()
+            for i, s in enumerate(seqs):
+                for at in range(len(s) - 2):
+                    w = s[at : at + 3]
+                    if set(w) <= set("acgt"):
+                        w = min(w, "".join("tgca"["acgt".index(x)] for x in reversed(w))) if both else w
+                        want[i, int("".join(str("acgt".index(x)) for x in w), 4)] += 1
+            assert got == (dict(want) if each else {k: 1 for k in want})

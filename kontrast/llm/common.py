@@ -139,14 +139,41 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     return left.select("*", salt).join(right, [*on, "__salt"], how).drop("__salt")
 
 
+#: Edges that one task joins in memory.
+TASK_EDGES = 500_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges from ``a`` to ``b``, and for each the smallest node that it can reach."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(node))
+    while True:
+        low, new = np.minimum(least[x], least[y]), least.copy()
+        np.minimum.at(new, least[x], low)
+        np.minimum.at(new, least[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == least).all():
+            return node, node[least]
+        least = new
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of the stored table ``edges`` (a, b), a and b distinct: the smallest node that each
-    can reach.
+    """(node, component) for the nodes of the stored table ``edges`` (a, b), longs: the smallest node that each can reach.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join, until the edges are stars around
-    smallest nodes; edges and labels stay in stored tables.
+    Up to TASK_EDGES edges are joined by one task. More take alternating large-star and small-star steps, each a grouped
+    minimum and a join, until the edges are stars around smallest nodes; edges and labels stay in stored tables.
     """
 
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            a, b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in least_reachable(a, b)], names=["node", "component"])
+
+    if edges.count() <= TASK_EDGES:
+        return edges.select("a", "b").coalesce(1).mapInArrow(at_once, "node long, component long")
+
     def step(e: DataFrame, large: bool) -> DataFrame:
         ends = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, read, release, salted_join, slices, stored, swept, text_or_empty, word_hashes
+from .common import components, least_reachable, mix, read, release, salted_join, slices, stored, swept, text_or_empty, word_hashes
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens and texts of a chunk, tokens of a bucket: what one task holds at a time.
@@ -23,6 +23,8 @@ MANY = NONE = 0xFFFF
 BROADCAST_ROWS = 200_000
 #: Frequency classes of tokens, see ``frequency_class``: up to RARE they are indexed singly, up to MIDDLE in twos.
 RARE, MIDDLE = 3, 7
+#: Nodes and tokens of a ball that one task compares in memory; tokens that it compares at a time.
+BALL_NODES, BALL_TOKENS, COLUMNS = 1024, 500_000, 4096
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -357,16 +359,65 @@ def candidates(balls: DataFrame, percent: int) -> DataFrame:
         rows, n = out, left
 
 
+def links_within(n: np.ndarray, own: np.ndarray, component: np.ndarray, d: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that lead to the same links as all links between the nodes of one ball, see ``candidates``.
+
+    How many tokens any two of the d share is the product of their matrix, some columns at a time, with itself.
+    """
+    size = np.array([len(x) for x in d], np.int64)
+    at, count = np.unique(np.concatenate(d), return_inverse=True, return_counts=True)[1:]
+    node = np.repeat(np.arange(len(d)), size)[count[at] > 1]
+    column = np.cumsum(count > 1)[at[count[at] > 1]] - 1  # tokens of one node alone are shared by none
+    order = np.argsort(column, kind="stable")
+    node, column = node[order], column[order]
+    both = np.zeros((len(d), len(d)), np.float32)
+    for first in range(0, int((count > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        block = np.zeros((len(d), COLUMNS), np.float32)
+        block[node[a:b], column[a:b] - first] = 1
+        both += block @ block.T
+    alone = (100 + percent) * (own + size) - (100 - percent) * n
+    links = alone[:, None] + alone[None] - 2 * (100 + percent) * both.astype(np.int64) <= 0
+    x, y = np.nonzero(np.triu(links & (component[:, None] != component[None])))
+    name, least = least_reachable(component[x], component[y])
+    return name[name != least], least[name != least]
+
+
+def settled_at_once(balls: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stored links between components, from each of ``balls`` within one task."""
+
+    def within(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        a, b = links_within(*[rows[c].to_numpy() for c in ("n", "own", "component")], list(rows["d"]), percent)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return stored(balls.groupBy("ball").applyInPandas(within, "a long, b long").distinct(), "links")
+
+
 def settled(labels: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links between nodes of one ball, by turns until no ball has nodes of two components that can link.
+    """``labels`` with all links between nodes of one ball.
 
-    In a turn each ball's ``candidates`` form groups by the rarest of the tokens in which they differ from the centre, as
-    many as any two that link must share one of. A group's node nearest to the centre becomes the centre of a new ball of
-    the group; links with it are found on the way. A ball loses its centre each time, so this ends; no pair is left out.
+    Balls up to BALL_NODES nodes and BALL_TOKENS tokens are each compared in memory, all nodes with all. Larger ones are
+    cut, by turns until no ball has nodes of two components that can link: in a turn each ball's ``candidates`` form groups
+    by the rarest of the tokens in which they differ from the centre, as many as any two that link must share one of. A
+    group's node nearest to the centre becomes the centre of a new ball of the group; links with it are found on the way.
+    A ball loses its centre each time, so this ends; no pair is left out.
     """
+    row = ["ball", "node", "n", "own", "d"]
     while True:
-        rows = candidates(balls, percent)
-        release(balls)
+        sizes = balls.groupBy("ball").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("d")).alias("tokens"))
+        small = (F.col("nodes") <= BALL_NODES) & (F.col("tokens") <= BALL_TOKENS)
+        few = balls.join(sizes.where(small), "ball", "left_semi")
+        found = settled_at_once(few, percent)
+        labels = joined(labels, found)
+        release(found)
+        many = sizes.where(~small).select("ball")
+        if many.isEmpty():
+            release(balls)
+            return labels
+        rest = opened(balls.select(*row).join(many, "ball", "left_semi"), labels)
+        rows = candidates(rest, percent)
+        release(balls, rest)
         if rows.isEmpty():
             release(rows)
             return labels
@@ -377,10 +428,10 @@ def settled(labels: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
         differ = F.array_union(F.array_except("d", "hub_d"), F.array_except("hub_d", "d"))
         both = both.withColumn("d", differ).withColumn("ball", F.concat_ws("/", "ball", "hub"))
         links = linked(F.col("own") + F.col("hub_own") + F.size("d"), "n", "hub_n", percent) & (F.col("component") != F.col("hub_component"))
-        met = stored(both.select("ball", "node", "n", "own", "d", "component", "hub_component", links.alias("links")), "met")
+        met = stored(both.select(*row, "component", "hub_component", links.alias("links")), "met")
         found = stored(met.where("links").select(F.col("component").alias("a"), F.col("hub_component").alias("b")).distinct(), "links")
         labels = joined(labels, found)
-        balls = opened(met.select("ball", "node", "n", "own", "d"), labels)
+        balls = opened(met.select(*row), labels)
         release(rows, met, found)
 
 
@@ -404,7 +455,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     Rows with equal sets are one node. Nodes of which more tokens than a link allows are in no other set end here. The
     others are indexed by ``signatures``. Nodes of one signature are compared with the most central of them, exactly,
     and form a ball around it; what is still open inside a ball is left to ``settled``. So a group of n copies gives some
-    n pairs, not n squared.
+    n pairs, not n squared; only balls of bounded size are compared all with all, each within one task.
     """
     if not 80 <= percent < 100:
         raise ValueError("percent must be from 80 to 99")

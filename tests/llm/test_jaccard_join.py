@@ -3,8 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from kontrast.llm import jaccard_join
-from kontrast.llm.jaccard_join import link, pack, shingle_sets, unpack
+from kontrast.llm import common, jaccard_join
+from kontrast.llm.common import least_reachable
+from kontrast.llm.jaccard_join import link, links_within, pack, shingle_sets, unpack
 
 
 def brute(rows, width=4, percent=85):
@@ -128,3 +129,55 @@ def test_packed_numbers():
         v = rng.integers(0, 2**16, len(t)).astype(np.uint16)
         a, b = unpack(pack(t, v))
         assert (a == t).all() and (b == v).all()
+
+
+def near_copies(groups, size):
+    """Copies of some texts of 90 words with one to six words changed, some alike: most pairs fail by little."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(groups):
+        for _ in range(size):
+            t = [f"g{g}w{i}" for i in range(90)]
+            for _ in range(rng.choice([1, 2, 3, 4, 4, 5, 6])):
+                t[rng.randrange(90)] = rng.choice(["x", "y", f"own{len(rows)}"])
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+def linked_by_turns(spark, rows, monkeypatch):
+    """What ``link`` gives of ``rows``, and how many rows each turn cuts."""
+    turns, real = [], jaccard_join.candidates
+    monkeypatch.setattr(jaccard_join, "candidates", lambda balls, percent: turns.append(balls.count()) or real(balls, percent))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in link(df, 5, 80).collect()}, turns
+
+
+def test_bounded_balls_take_no_turns(spark, monkeypatch):
+    """The turns' rows would grow with the square of a group's size."""
+    rows = near_copies(20, 60)
+    got, turns = linked_by_turns(spark, rows, monkeypatch)
+    assert got == by_matrix(rows, 5, 80)
+    assert not turns
+
+
+def test_larger_balls_are_cut_by_turns(spark, monkeypatch):
+    """As above with balls beyond the bound and edges beyond what one task joins."""
+    rows = near_copies(3, 250)
+    monkeypatch.setattr(jaccard_join, "BALL_NODES", 20)
+    monkeypatch.setattr(common, "TASK_EDGES", 0)
+    got, turns = linked_by_turns(spark, rows, monkeypatch)
+    assert got == by_matrix(rows, 5, 80)
+    assert turns
+
+
+def test_links_within_a_ball(monkeypatch):
+    """Few columns at a time, empty differences, own tokens: the same components as from all pairs."""
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 3)
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        d = [rng.permutation(12)[: rng.integers(0, 8)] for _ in range(15)]
+        n, own, component = rng.integers(10, 40, 15), rng.integers(0, 3, 15), rng.integers(0, 9, 15)
+        edges = [(component[i], component[j]) for i in range(15) for j in range(i) if component[i] != component[j] and 180 * (own[i] + own[j] + len(set(d[i]) ^ set(d[j]))) <= 20 * (n[i] + n[j])]
+        want = least_reachable(*np.array(edges, np.int64).reshape(-1, 2).T)
+        a, b = links_within(n, own, component, d, 80)
+        assert dict(zip(*want, strict=True)) == dict(zip(a, b, strict=True)) | {x: x for x in b}
